@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlark.plans import trailing
+
+MODULES = (trailing,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    out: dict = {}
+    for m in MODULES:
+        out |= m.QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out: dict = {}
+    for m in MODULES:
+        out |= m.SQL
+    return out
