@@ -80,7 +80,8 @@ def units(s: str) -> list[tuple[int, int]]:
 
 
 STOP = re.compile(r"(?P<dots>\.(?:[ ]?\.){2,}|\.)|(?P<any>[" + re.escape(ANY) + "]+)|(?P<full>[" + re.escape(FULL) + "]+)")
-TOKEN_BEFORE = re.compile(r"(?:[^\W_]+(?:[.’'-][^\W_]+)*)$")
+LETTER = r"(?:[^\W_]|[\u064b-\u065f\u0900-\u0963\u0966-\u0dff])"
+TOKEN_BEFORE = re.compile(rf"{LETTER}+(?:[.’'-]{LETTER}+)*$")
 WORD_AFTER = re.compile(r"[^\W_]+")
 CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 THAI = re.compile(r"[฀-๿຀-໿ក-៿က-႟]")
@@ -99,7 +100,7 @@ class Doc:
         self.lower: set[str] = set()
         self.dotted: set[str] = set()  # words with a full stop before a small letter, a comma or a number
         self.plain: set[str] = set()
-        for m in re.finditer(r"([^\W_]+(?:\.[^\W_]+)*)(\.?)(\s*)([^\s]?)", s):
+        for m in re.finditer(r"([^\W_]+(?:\.[^\W_]+)*)(\.?)(?=(\s*)(\S?))", s):
             w = fold(m[1])
             if m[1][0].islower():
                 self.lower.add(w)
