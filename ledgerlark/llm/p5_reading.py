@@ -43,6 +43,13 @@ def visible(text: str) -> str:
     return forms.folded(forms.shape(text))
 
 
+def sentences(text: str) -> list[str]:
+    """The sentences of a text; units without a terminator, such as headings, only count where there is nothing else."""
+    ends = split(text)
+    parts = [text[b:e].strip() for b, e in zip([0, *ends], ends)]
+    return [x for x in parts if x.rstrip("\"'”’»)]")[-1:] in tuple(".?!…")] or parts
+
+
 def _measure(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = []
     for i, at, s, t in zip(pdf["filing_id"], pdf["loaded_at"], pdf["section"], pdf["text"]):
@@ -51,8 +58,10 @@ def _measure(pdf: pd.DataFrame) -> pd.DataFrame:
         english = sum(w.lower() in FUNCTION_WORDS for w in words)
         if len(words) < LEAST_WORDS or english < LEAST_FUNCTION_SHARE * len(words):
             continue
+        whole = sentences(t)
+        words = [w for x in whole for w in LETTERS.findall(x)]
         n = Counter(w for w in words if w.islower())
-        rows.append((i, at, s, len(words), len(split(t)), list(n), list(n.values())))
+        rows.append((i, at, s, len(words), len(whole), list(n), list(n.values())))
     return pd.DataFrame(rows, columns=["filing_id", "loaded_at", "section", "words", "sentences", "own", "times"]).astype({"loaded_at": pdf["loaded_at"].dtype})
 
 
