@@ -38,20 +38,24 @@ def metrics(counts: dict[str, Column], total: Column) -> list[Column]:
     return [*out, sum(counts[k] for k in CATEGORIES).cast("long").alias("total_lm_words"), total.cast("long").alias("total_words")]
 
 
+def _is(category: str) -> Callable[[Column], Column]:
+    return lambda c: c == category
+
+
 def score(tokens: Column | str, lexicon: dict[str, list[str]]) -> Column:
     """L1, L2: struct of counts and shares of the seven categories and the composites; all 0 for no tokens.
 
     A word in k categories counts k times in total_lm_words."""
     t = F.col(tokens) if isinstance(tokens, str) else tokens
     hits = F.flatten(F.transform(t, lambda x: F.coalesce(F.try_element_at(_literal(lexicon), F.upper(x)), F.array().cast("array<string>"))))
-    counts = {k: F.size(F.filter(hits, lambda c, k=k: c == k)) for k in CATEGORIES}
+    counts = {k: F.size(F.filter(hits, _is(k))) for k in CATEGORIES}
     return F.struct(*metrics(counts, F.size(t)))
 
 
 def score_columns(df: DataFrame, lexicon: DataFrame, text_col: str, prefix: str, tokenizer: Callable[[Column], Column] = text.tokenize) -> DataFrame:
     """L3: adds the 18 metrics of a text column under a prefix; the tokens are computed once for each row."""
     lex = categories_of(lexicon)
-    counts = [F.size(F.filter(F.col("_hits"), lambda c, k=k: c == k)) for k in CATEGORIES]
+    counts = [F.size(F.filter(F.col("_hits"), _is(k))) for k in CATEGORIES]
     df = df.withColumn("_tokens", tokenizer(text.text_of(text_col)))
     # the map literal holds at most MAX_LITERAL_WORDS words
     found = F.flatten(F.transform("_tokens", lambda x: F.coalesce(F.try_element_at(_literal(lex), F.upper(x)), F.array().cast("array<string>"))))

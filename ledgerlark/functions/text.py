@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ledgerlark.config import DEFAULT, STOP_WORDS
 
@@ -94,7 +95,7 @@ def _letters(t: Column) -> Column:
     return strip(F.regexp_replace(t, SPACE, " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ascii(t: pd.Series) -> pd.Series:
     return t.map(lambda x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode() if isinstance(x, str) else x)
 
@@ -155,4 +156,4 @@ def label(day: Column | str, kind: Column | str) -> Column:
 def percent(c: Column | str) -> Column:
     """Two decimals and a per cent sign, a dash where missing."""
     x = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.format_string("%.2f%%", x * 100), F.lit("—"))
+    return F.when(x.isNull(), F.lit("—")).otherwise(F.format_string("%.2f%%", x * 100))

@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ledgerlark.config import DEFAULT
 from ledgerlark.functions import text
@@ -64,7 +65,7 @@ def plain_text(raw: str | None) -> str:
     return "\n".join(line for line in lines if line)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _plain(raw: pd.Series) -> pd.Series:
     return raw.map(plain_text)
 

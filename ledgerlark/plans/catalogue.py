@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.plans import trailing
+from ledgerlark.plans import text_queries, trailing
 
-MODULES = (trailing,)
+MODULES = (text_queries, trailing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
