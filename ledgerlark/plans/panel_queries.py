@@ -29,7 +29,7 @@ def built_panel(spark: SparkSession, sf_dir: str, scorer=None) -> DataFrame:
 def q_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = ["filing_id", "sector", "filing_year", "filing_quarter", "event_date"]
     cols = ["stat_1a_word_count", "stat_1a_fog_index", "lm_1a_negative_pct", "lm_1a_net_sentiment", "lm_1a_total_words", "delta_stat_1a_word_count", "delta_lm_1a_net_sentiment", "abret_21d", "trailing_vol_63d", "forward_vol_63d"]
-    return _r(built_panel(spark, sf_dir).select(*keep, *cols), keep)
+    return _r(built_panel(spark, sf_dir).select(*keep, *cols), keep, 8)
 
 
 def q_panel_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,8 +227,8 @@ j AS (SELECT ft.filing_id, ft.ticker, filing_date, wc, fog, negative_pct, net_se
   FROM ft JOIN st USING (filing_id) JOIN l USING (filing_id) WINDOW w AS (PARTITION BY ft.ticker, ft.filing_type ORDER BY ft.filing_date ASC NULLS LAST, ft.filing_id)),
 s AS (SELECT ticker, max(sector) AS sector FROM sector_map WHERE ticker IS NOT NULL GROUP BY ticker)
 SELECT filing_id, coalesce(sector, 'Unknown') AS sector, year(filing_date) AS filing_year, coalesce(year(filing_date) || 'Q' || quarter(filing_date), 'NaT') AS filing_quarter, event_date,
-  wc AS stat_1a_word_count, round(fog, 6) AS stat_1a_fog_index, round(negative_pct, 6) AS lm_1a_negative_pct, round(net_sentiment, 6) AS lm_1a_net_sentiment, total_words AS lm_1a_total_words,
-  dwc AS delta_stat_1a_word_count, round(dnet + 0.0, 6) AS delta_lm_1a_net_sentiment, round(abret_21d, 6) AS abret_21d, round(trailing_vol_63d, 6) AS trailing_vol_63d, round(forward_vol_63d, 6) AS forward_vol_63d
+  wc AS stat_1a_word_count, round(fog, 8) AS stat_1a_fog_index, round(negative_pct, 8) AS lm_1a_negative_pct, round(net_sentiment, 8) AS lm_1a_net_sentiment, total_words AS lm_1a_total_words,
+  dwc AS delta_stat_1a_word_count, round(dnet + 0.0, 8) AS delta_lm_1a_net_sentiment, round(abret_21d, 8) AS abret_21d, round(trailing_vol_63d, 8) AS trailing_vol_63d, round(forward_vol_63d, 8) AS forward_vol_63d
 FROM j LEFT JOIN s USING (ticker) LEFT JOIN mk ON mk.ticker = j.ticker AND mk.dt = j.event_date""",
     "q_sector_breakdown": f"WITH {PANEL} SELECT sector, {', '.join(f'round(avg({c}), 4) AS {c}' for c in NUMERIC)} FROM v GROUP BY sector",
     "q_sector_compare": f"WITH {PANEL} SELECT sector, round(avg(lm_1a_net_sentiment), 6) AS net, round(avg(abret_21d), 6) AS ret FROM v GROUP BY sector",
