@@ -41,7 +41,7 @@ def q_panel_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_sector_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.sector_breakdown(_panel(spark, sf_dir), NUMERIC)
+    return report.sector_breakdown(_panel(spark, sf_dir), NUMERIC, digits=6)
 
 
 def q_sector_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +230,7 @@ SELECT filing_id, coalesce(sector, 'Unknown') AS sector, year(filing_date) AS fi
   wc AS stat_1a_word_count, round(fog, 8) AS stat_1a_fog_index, round(negative_pct, 8) AS lm_1a_negative_pct, round(net_sentiment, 8) AS lm_1a_net_sentiment, total_words AS lm_1a_total_words,
   dwc AS delta_stat_1a_word_count, round(dnet + 0.0, 8) AS delta_lm_1a_net_sentiment, round(abret_21d, 8) AS abret_21d, round(trailing_vol_63d, 8) AS trailing_vol_63d, round(forward_vol_63d, 8) AS forward_vol_63d
 FROM j LEFT JOIN s USING (ticker) LEFT JOIN mk ON mk.ticker = j.ticker AND mk.dt = j.event_date""",
-    "q_sector_breakdown": f"WITH {PANEL} SELECT sector, {', '.join(f'round(avg({c}), 4) AS {c}' for c in NUMERIC)} FROM v GROUP BY sector",
+    "q_sector_breakdown": f"WITH {PANEL} SELECT sector, {', '.join(f'round(avg({c}), 6) AS {c}' for c in NUMERIC)} FROM v GROUP BY sector",
     "q_sector_compare": f"WITH {PANEL} SELECT sector, round(avg(lm_1a_net_sentiment), 6) AS net, round(avg(abret_21d), 6) AS ret FROM v GROUP BY sector",
     "q_quarter_mean": f"WITH {PANEL} SELECT filing_quarter AS quarter, round(avg({SIGNAL}), 6) AS avg_sentiment FROM v WHERE filing_quarter IS NOT NULL GROUP BY 1",
     "q_sentiment_and_market": f"""WITH {PANEL}, {PRICES}, q AS (SELECT year(dt) || 'Q' || quarter(dt) AS quarter, arg_max(close, dt) AS c FROM p WHERE ticker = 'SPY' GROUP BY 1),

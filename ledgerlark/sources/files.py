@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +22,19 @@ FLAG_NAMES = {
 def list_filings(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, modificationTime, content) of .htm, .html and .txt files below a folder, any case."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = files.unionByName(_empty_files(files))
     return files.where(F.lower("path").rlike("\\.(html?|txt)$"))
 
 
+def _empty_files(files: DataFrame) -> DataFrame:
+    """The files without bytes, which Spark's scan leaves out; the list of names is the one its file index holds anyway."""
+    names = [re.sub("^file:/+", "file:/", unquote(p)) for p in files.inputFiles()]
+    listed = files.sparkSession.createDataFrame([(n,) for n in names], "path string")
+    rows = listed.join(files.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path")), "path", "left_anti")
+    empty = {"modificationTime": F.lit(None).cast("timestamp"), "length": F.lit(0).cast("long"), "content": F.lit(b"").cast("binary")}
+    return rows.select("path", *[c.alias(n) for n, c in empty.items()])
+
+
 def decode(content: Column | str) -> Column:
     """UTF-8 with U+FFFD for bad bytes."""
     c = F.col(content) if isinstance(content, str) else content
