@@ -55,8 +55,9 @@ def score_sentences(rows: DataFrame, sentence: str, make: Callable[[], Scorer],
 
     @F.pandas_udf("label string, score double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = make()  # once a task, on the worker
+        scorer = None  # made once a task, on the worker, if there is anything to score
         for s in parts:
+            scorer = scorer or (make() if len(s) else None)
             yield pd.DataFrame(safe_scores(scorer, s.fillna("").tolist(), batch), columns=["label", "score"])
 
     return rows.withColumn("_s", run(F.col(sentence))).select("*", "_s.label", "_s.score").drop("_s")
