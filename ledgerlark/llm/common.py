@@ -76,6 +76,8 @@ def batches(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: st
     return df.mapInPandas(run, schema)
 
 
-def spread(df: DataFrame, row_bytes: int = 0) -> DataFrame:
-    """Splits are sized by spark.sql.files.maxPartitionBytes; nothing is shuffled here."""
-    return df
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows over all cores, before each becomes many: a small table has few splits, and AQE would merge them."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
