@@ -156,8 +156,9 @@ def text_pairs(rows: DataFrame, hot: int = HOT) -> DataFrame:
     few, many = shared.where(F.col("n") <= hot), shared.where(F.col("n") > hot)
     a, b = few.alias("a"), few.alias("b")
     pairs = a.join(b, (F.col("a.digest") == F.col("b.digest")) & (F.col("a.u") < F.col("b.u"))).select(F.col("a.u").alias("ua"), F.col("b.u").alias("ub"))
-    needed = shared.select("u").distinct()
-    held = rows.select("u", "text").join(needed, "u", "left_semi").dropDuplicates(["u"])
+    # one document for each text that is needed, so that copies don't move
+    holders = rows.groupBy("u").agg(F.min("doc_id").alias("doc_id")).join(shared.select("u").distinct(), "u", "left_semi")
+    held = rows.select("doc_id", "u", "text").join(holders, ["doc_id", "u"]).select("u", "text").dropDuplicates(["u"])
     held = common.written(held, "p10-texts")
     around = held.join(many.groupBy("u").agg(F.collect_list("digest").alias("digests")), "u")
     w = common.batches(around.select("u", "text", "digests"), _hot_rows, "w long, prev long, u long").repartition("w")
