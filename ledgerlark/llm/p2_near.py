@@ -116,7 +116,7 @@ def _similar(threshold: float):
 
 def text_pairs(signed_texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, similarity) of different texts (id, bands, sketch, shingles) at or over the threshold. Pass a written table."""
-    rows = signed_texts.where("n > 0").select("id", F.explode("bands").alias("band"))
+    rows = common.spread(signed_texts.where("n > 0").select("id", "bands"), "id").select("id", F.explode("bands").alias("band"))
     a, b = rows.alias("a"), rows.alias("b")
     pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
@@ -138,7 +138,8 @@ def near(secs: DataFrame, without: DataFrame | None = None, shingle: int = SHING
     members = common.written(members, "p2-members")
     # bands hash with the section, so texts of different sections never meet
     texts = all_rows.select(key, "n", F.transform("bands", lambda x: F.xxhash64(x, "section")).alias("bands"), "sketch", "shingles")
-    texts = texts.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    # copies are merged in each task first, so a text that a third of the rows hold is moved once a task
+    texts = texts.dropDuplicates(["id"]).join(members.select("id").distinct(), "id", "left_semi")
     return members, text_pairs(common.written(texts, "p2-texts"), threshold)
 
 
