@@ -28,15 +28,18 @@ def rolling_totals(events: DataFrame, entity: str, day: str, values: list[str],
     known = events.where(F.col(entity).isNotNull() & F.col(day).isNotNull())
     known = known.select(F.col(entity).alias("_e"), F.col(day).cast("date").alias("_d"), *[zero[v].alias(f"_v{i}") for i, v in enumerate(values)])
     daily = known.groupBy("_e", "_d").agg(*[F.sum(f"_v{i}").alias(f"_v{i}") for i in range(len(values))])
-    near = daily.withColumn("_m", F.trunc("_d", "month")).repartition("_e", "_m")
+    spark = events.sparkSession  # a fixed number of partitions: AQE would merge the few rows before they become many
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    near = daily.withColumn("_m", F.trunc("_d", "month")).repartition(parts, "_e", "_m")
     shifted = near.select("_e", "_d", *[f"_v{i}" for i in range(len(values))], F.explode(F.sequence(F.lit(0), F.lit(longest - 1))).alias("_k"))
     sums = [
         F.sum(F.when(F.col("_k") < n, F.col(f"_v{i}")).otherwise(0.0)).alias(f"total_{n}d_{v}") for n in days for i, v in enumerate(values)
     ]
     reached = shifted.groupBy("_e", F.date_add("_d", F.col("_k")).alias("_day")).agg(*sums)
     span = daily.groupBy("_e").agg(F.min("_d").alias("_first"), F.max("_d").alias("_last"))
-    calendar = span.select("_e", F.explode(F.sequence("_first", "_last")).alias("_day"))
-    rows = calendar.join(reached, ["_e", "_day"], "left")
+    calendar = span.repartition(parts, F.xxhash64("_e")).select("_e", F.explode(F.sequence("_first", "_last")).alias("_day"))
+    # sizes are only known before the days are exploded, so a broadcast would be chosen wrongly
+    rows = calendar.join(reached.hint("merge"), ["_e", "_day"], "left")
     total = {(n, v): F.coalesce(f"total_{n}d_{v}", F.lit(0.0)) for n in days for v in values}
     return rows.select(
         F.col("_e").alias(entity), F.col("_day").alias("day"),
