@@ -90,8 +90,8 @@ def dense_prices(prices: DataFrame, backfill: bool = True) -> DataFrame:
     """A row for each ticker and each day on which any ticker traded, gaps filled forward, then backward.
 
     Backward filling puts a later close on days before a ticker is listed; backfill=False leaves them NULL."""
-    days, tickers = prices.select("dt").distinct(), prices.select("ticker").distinct()
-    grid = days.crossJoin(tickers).join(prices.select("dt", "ticker", "close"), ["dt", "ticker"], "left")
+    days = prices.agg(F.sort_array(F.collect_set("dt")).alias("_days"))  # one row, as long as the trading calendar
+    grid = prices.select("ticker").distinct().crossJoin(F.broadcast(days)).select("ticker", F.explode("_days").alias("dt")).join(prices.select("dt", "ticker", "close"), ["dt", "ticker"], "left")
     before = by_ticker().rowsBetween(Window.unboundedPreceding, 0)
     after = by_ticker().rowsBetween(0, Window.unboundedFollowing)
     filled = F.last("close", True).over(before)

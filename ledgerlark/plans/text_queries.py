@@ -187,9 +187,8 @@ def q_submissions_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_cross_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tickers times forms without a landed file."""
     tickers = base.table(spark, sf_dir, "sector_map").select("ticker").where("ticker is not null").distinct()
-    forms = spark.createDataFrame([("10-K",), ("10-Q",)], "filing_type string")
     there = base.table(spark, sf_dir, "manifest").where("file_size_kb * 1024 > 1000").select("ticker", "filing_type").distinct()
-    return tickers.crossJoin(forms).join(there, ["ticker", "filing_type"], "left_anti")
+    return tickers.select("ticker", edgar.each_form(("10-K", "10-Q"))).join(there, ["ticker", "filing_type"], "left_anti")
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"

@@ -12,7 +12,7 @@ def _uniform(name: str, *key: str) -> Column:
 
 def demo_panel(spark: SparkSession, tickers: int = 10, years: int = 6, per_year: int = 2, first_year: int = 2018) -> DataFrame:
     """One row for each ticker, year and filing of the year, with figures in plausible ranges."""
-    rows = spark.range(tickers).withColumnRenamed("id", "t").crossJoin(spark.range(years).withColumnRenamed("id", "y")).crossJoin(spark.range(per_year).withColumnRenamed("id", "k"))
+    rows = spark.range(tickers).select(F.col("id").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(years - 1))).alias("y")).select("t", "y", F.explode(F.sequence(F.lit(0), F.lit(per_year - 1))).alias("k"))
     key = ("t", "y", "k")
     spread = lambda n, low, high: (F.lit(low) + _uniform(n, *key) * (high - low)).alias(n)
     day = F.make_date((F.col("y") + first_year).cast("int"), (F.col("k") * 6 + 3).cast("int"), F.lit(15))
@@ -26,9 +26,8 @@ def demo_panel(spark: SparkSession, tickers: int = 10, years: int = 6, per_year:
 
 def demo_filings(spark: SparkSession, tickers: int = 50, years: int = 6, last_quarters: int = 3, first_year: int = 2018) -> DataFrame:
     """A 10-K for each ticker and year, and three 10-Qs of the last year."""
-    t = spark.range(tickers).select(F.concat(F.lit("TK"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("ticker"))
-    k = spark.range(years).select(F.lit("10-K").alias("filing_type"), F.make_date((F.col("id") + first_year).cast("int"), F.lit(2), F.lit(15)).alias("filing_date"))
-    q = spark.range(last_quarters).select(F.lit("10-Q").alias("filing_type"), F.make_date(F.lit(first_year + years - 1), (F.col("id") * 3 + 5).cast("int"), F.lit(10)).alias("filing_date"))
-    rows = t.crossJoin(k.unionByName(q))
+    one = lambda f, y, m, d: F.struct(F.lit(f).alias("filing_type"), F.make_date(F.lit(y), F.lit(m), F.lit(d)).alias("filing_date"))
+    dates = [one("10-K", first_year + y, 2, 15) for y in range(years)] + [one("10-Q", first_year + years - 1, 3 * q + 5, 10) for q in range(last_quarters)]
+    rows = spark.range(tickers).select(F.concat(F.lit("TK"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("ticker"), F.explode(F.array(*dates)).alias("f")).select("ticker", "f.*")
     n = (F.lit(5000) + _uniform("n", "ticker", "filing_date") * 10000).cast("long")
     return rows.withColumns({"word_count": n, "item_1a_len": n * 4, "mda_len": n * 2, "item_1a_text": F.lit("Demand may decline. Losses could follow."), "mda_text": F.lit("Revenue improved. Costs were stable.")})

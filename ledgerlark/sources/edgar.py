@@ -60,11 +60,16 @@ def document_url(base: str, cik: Column, accession: Column, document: Column) ->
     return F.concat(F.lit(base.rstrip("/") + "/"), cik.cast("string"), F.lit("/"), F.replace(accession, F.lit("-"), F.lit("")), F.lit("/"), document)
 
 
-def to_fetch(tickers: DataFrame, forms: DataFrame, ciks: DataFrame, rows: DataFrame, landed: DataFrame, base: str, folder: str, start: str = DEFAULT.start_date, end: str = DEFAULT.end_date) -> DataFrame:
+def each_form(forms: tuple[str, ...]) -> Column:
+    """A row for each form, to select beside the tickers."""
+    return F.explode(F.array(*[F.lit(f) for f in forms])).alias("filing_type")
+
+
+def to_fetch(tickers: DataFrame, forms: tuple[str, ...], ciks: DataFrame, rows: DataFrame, landed: DataFrame, base: str, folder: str, start: str = DEFAULT.start_date, end: str = DEFAULT.end_date) -> DataFrame:
     """(ticker, filing_type, url, path) of all tickers times forms that aren't landed yet.
 
     landed: (path, length); a file of LANDED_BYTES or less is fetched again."""
-    plan = tickers.select(F.upper("ticker").alias("ticker")).distinct().crossJoin(forms.select("filing_type").distinct())
+    plan = tickers.select(F.upper("ticker").alias("ticker")).distinct().select("ticker", each_form(forms))
     plan = plan.join(ciks, "ticker").join(rows.withColumnRenamed("form", "filing_type"), ["cik", "filing_type"])
     plan = plan.where(F.col("day").between(start, end) & (F.coalesce("document", F.lit("")) != ""))
     ext = F.coalesce(F.nullif(F.regexp_extract("document", "(\\.[A-Za-z0-9]+)$", 1), F.lit("")), F.lit(".htm"))

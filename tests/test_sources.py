@@ -22,7 +22,7 @@ def test_plan_of_downloads(spark):
     tickers = edgar.ticker_map(spark.createDataFrame([('{"0":{"ticker":"abc","cik_str":1},"1":{"ticker":"ABC","cik_str":2}}',)], "value string"))
     assert [tuple(r) for r in tickers.collect()] == [("ABC", 2)]
     rows = spark.createDataFrame([(2, "10-K", "2020-01-02", "0-1", "x.txt"), (2, "10-K", "2021-01-02", "0-2", "noext"), (2, "10-Q", "2020-06-02", "0-3", "")], "cik long, form string, day string, accession string, document string")
-    forms = spark.createDataFrame([("10-K",), ("10-Q",)], "filing_type string")
+    forms = ("10-K", "10-Q")
     landed = spark.createDataFrame([("d/ABC/10-K/2020-01-02_0-1.txt", 1000)], "path string, length long")
     plan = edgar.to_fetch(spark.createDataFrame([("abc",)], "ticker string"), forms, tickers, rows, landed, "https://h/", "d")
     assert {(r["url"], r["path"]) for r in plan.collect()} == {("https://h/2/01/x.txt", "d/ABC/10-K/2020-01-02_0-1.txt"), ("https://h/2/02/noext", "d/ABC/10-K/2021-01-02_0-2.htm")}
