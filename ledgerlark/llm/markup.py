@@ -233,7 +233,7 @@ class Parser:
             return
         rows = text.split("\n")
         i, para = 0, []
-        in_list = own == "li"
+        in_list = False
         fresh = True  # a block may begin here
 
         def end() -> None:
