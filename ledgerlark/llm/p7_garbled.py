@@ -149,15 +149,20 @@ def _units(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"token": list(n), "n": list(n.values())})
 
 
+def strong(form: str, token: str) -> bool:
+    """True if a form can't be a clean word by chance; the others count only beside a strong one of their chain."""
+    return len(form) > len(token) or LOST in form or sum(ord(c) > 127 for c in form) >= 3 or len(form) >= 5
+
+
 def _forms(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = []
     for token, n in zip(pdf["token"], pdf["n"]):
         if not plain(token):
             continue
         for form, chain in {f: c for f, c in reversed(wide_forms(token) + narrow_forms(token))}.items():
-            if form != token and (len(form) > len(token) or LOST in form or sum(ord(c) > 127 for c in form) >= 3 or len(form) >= 5):
-                rows.append((form, token, chain, n))
-    return pd.DataFrame(rows, columns=["token", "original", "chain", "original_n"])
+            if form != token:
+                rows.append((form, token, chain, n, strong(form, token)))
+    return pd.DataFrame(rows, columns=["token", "original", "chain", "original_n", "strong"])
 
 
 def _chars(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -249,13 +254,14 @@ def vocabulary(secs: DataFrame) -> DataFrame:
 
 
 def originals(vocab: DataFrame) -> DataFrame:
-    """(token, original, chain): garbled tokens of the corpus; original NULL where there are several."""
-    forms = common.batches(vocab, _forms, "token string, original string, chain string, original_n long")
-    hit = forms.join(vocab, "token").where((F.col("original_n") > F.col("n")) | F.col("token").contains(LOST))
-    best = F.max(F.struct("original_n", "original", "chain"))
-    rows = hit.groupBy("token").agg(best.alias("b"), F.min("original").alias("x"), F.max("original").alias("y"))
+    """(token, original, chain, strong): garbled tokens of the corpus by chain; original NULL where there are several."""
+    forms = common.batches(common.spread(vocab, "token"), _forms, "token string, original string, chain string, original_n long, strong boolean")
+    # many times the size that Spark sees, so a broadcast would be chosen wrongly
+    hit = forms.hint("merge").join(vocab, "token").where((F.col("original_n") > F.col("n")) | F.col("token").contains(LOST))
+    best = F.max(F.struct("original_n", "original"))
+    rows = hit.groupBy("token", "chain").agg(best.alias("b"), F.min("original").alias("x"), F.max("original").alias("y"), F.max("strong").alias("strong"))
     one = (F.col("x") == F.col("y")) | ~F.col("token").contains(LOST)
-    return rows.select("token", F.when(one, F.col("b.original")).alias("original"), "b.chain")
+    return rows.select("token", F.when(one, F.col("b.original")).alias("original"), "chain", "strong")
 
 
 def _scan(held):
@@ -279,14 +285,14 @@ def _prepared(secs: DataFrame):
     held = spark.sparkContext.broadcast(Tiles([(r["ch"], r["n"]) for r in chars.collect()]))
     rows = common.batches(secs.withColumn("raw", F.xxhash64("text")), _scan(held), "filing_id long, loaded_at timestamp, section string, raw long, tiles int, tokens array<string>")
     rows = common.written(rows.where("tiles > 0 or size(tokens) > 0"), "p7-scanned")
-    matched = rows.select(*KEY, F.explode("tokens").alias("token")).distinct().join(originals(vocab), "token")
+    matched = common.spread(rows.select(*KEY, "tokens"), "filing_id").select(*KEY, F.explode("tokens").alias("token")).distinct().join(originals(vocab), "token")
     return held, rows, matched
 
 
 def found(secs: DataFrame) -> DataFrame:
     """(filing_id, section) of the sections that hold garbled text, in their latest delivery."""
     _, rows, matched = _prepared(secs)
-    hit = matched.select(*KEY).distinct().withColumn("hit", F.lit(True))
+    hit = matched.where("strong").select(*KEY).distinct().withColumn("hit", F.lit(True))
     rows = rows.select(*KEY, "loaded_at", "tiles").join(hit, KEY, "left")
     rows = rows.withColumn("garbled", (F.col("tiles") > 0) | F.coalesce("hit", F.lit(False)))
     # deliveries without any token outside ASCII are clean, but have to be seen as the latest ones
@@ -298,8 +304,8 @@ def found(secs: DataFrame) -> DataFrame:
 def restored(secs: DataFrame) -> DataFrame:
     """(filing_id, section, chains, complete, text) of each garbled section, with originals in place."""
     held, rows, matched = _prepared(secs)
-    pairs = matched.groupBy(*KEY).agg(F.collect_list(F.struct("token", "original", "chain")).alias("pairs"))
-    cases = rows.select(*KEY, "tiles").distinct().join(pairs, KEY, "left").where("tiles > 0 or pairs is not null").select(*KEY, "pairs")
+    pairs = matched.groupBy(*KEY).agg(F.collect_list(F.struct("token", "original", "chain", "strong")).alias("pairs"), F.max("strong").alias("sure"))
+    cases = rows.select(*KEY, "tiles").distinct().join(pairs, KEY, "left").where("tiles > 0 or sure").select(*KEY, "pairs")
     texts = secs.withColumn("raw", F.xxhash64("text")).join(cases, KEY).select(*KEY, "loaded_at", "text", "pairs")
 
     def repair(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -312,7 +318,8 @@ def restored(secs: DataFrame) -> DataFrame:
                 at = e
                 chains.add(chain)
             t = "".join([*parts, t[at:]])
-            by = {p["token"]: p for p in ps} if ps is not None else {}
+            sure = Counter(p["chain"] for p in ps if p["strong"]) if ps is not None else {}
+            by = {p["token"]: p for p in sorted(ps, key=lambda p: (sure[p["chain"]], p["strong"], p["chain"])) if p["chain"] in sure} if ps is not None else {}
 
             def swap(m: re.Match, by=by, chains=chains) -> str:
                 p = by.get(m[0])
