@@ -118,7 +118,7 @@ def text_pairs(signed_texts: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """(a, b, similarity) of different texts (id, bands, sketch, shingles) at or over the threshold. Pass a written table."""
     rows = common.spread(signed_texts.where("n > 0").select("id", "bands"), "id").select("id", F.explode("bands").alias("band"))
     a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    pairs = a.join(b.hint("merge"), (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
     def beside(df: DataFrame, what: str, name: str) -> DataFrame:
         x, y = (signed_texts.select(F.col("id").alias(k), F.col(what).alias(f"{name}_{k}")) for k in "ab")
