@@ -54,6 +54,20 @@ def token_form(token: str) -> str:
     return forms.folded(forms.shape(token))
 
 
+FOREIGN = re.compile("[\u0370-\u058f]")
+
+
+@lru_cache(200_000)
+def odd(token: str) -> bool:
+    """True if a token may have another spelling: it isn't its own form, or its form mixes alphabets."""
+    if token.isascii():
+        return False
+    return token_form(token) != token or bool(FOREIGN.search(token)) and any(c in LATIN for c in token)
+
+
+LATIN = frozenset(forms.LOOKALIKE.values())
+
+
 def pure(token: str) -> bool:
     """A word in composed form whose letters are of one alphabet: fit for the vocabulary."""
     if forms.shape(token) != token or not token.isalpha():
@@ -128,8 +142,8 @@ def _scan(pdf: pd.DataFrame) -> pd.DataFrame:
         if t.isascii():
             rows.append((digest(t), forms.blanks(t), None))
             continue
-        odd = sorted({x for x in pat.findall(t) if not x.isascii() and token_form(x) != x})
-        rows.append((digest(t), t, odd) if odd else (digest(t), forms.blanks(special.sub(lambda m: forms.tables()[0][ord(m[0])], t)), None))
+        todo = sorted({x for x in pat.findall(t) if odd(x)})
+        rows.append((digest(t), t, todo) if todo else (digest(t), forms.blanks(special.sub(lambda m: forms.tables()[0][ord(m[0])], t)), None))
     out = pdf[["filing_id", "loaded_at", "section"]].copy()
     out[["raw", "body", "odd"]] = pd.DataFrame(rows, index=pdf.index, columns=["raw", "body", "odd"])
     return out
@@ -140,12 +154,12 @@ SCANNED = "filing_id long, loaded_at timestamp, section string, raw binary, body
 
 def _vocabulary(pdf: pd.DataFrame) -> pd.DataFrame:
     """Distinct tokens of a batch: words fit for the vocabulary with their counts, and tokens to look up."""
-    pat, n, odd = token_pattern(), Counter(), Counter()
+    pat, n, todo = token_pattern(), Counter(), Counter()
     for t in pdf["text"]:
         for x in set(pat.findall(t)):
-            (odd if not x.isascii() and token_form(x) != x else n)[x] += 1
+            (todo if odd(x) else n)[x] += 1
     rows = [(token_form(x)[:SHARD_CHARS], 0, x, c) for x, c in n.items() if x.isalpha() and pure(x)]
-    for x, c in odd.items():
+    for x, c in todo.items():
         f = token_form(x)
         rows.append((f[:SHARD_CHARS], 1, x, c))
         if pure(x):
