@@ -27,6 +27,8 @@ from ledgerlark.llm.p4_sentences import split
 FAMILIAR = 0.2
 MAX_LABELS = 5000
 TOP_BAND = 4
+#: Share of either band's labelled sections beyond the places between which a limit lies.
+EDGE = 0.01
 # English function words.
 FUNCTION_WORDS = frozenset("the of and to our we with by that is are was they their its it which from this have has not at would".split())
 LEAST_FUNCTION_SHARE = 0.1
@@ -87,11 +89,21 @@ def measured(secs: DataFrame) -> DataFrame:
     return common.latest(rows, ["filing_id", "section"], ["unfamiliar", "length"])
 
 
+def limit(low: np.ndarray, high: np.ndarray) -> float:
+    """The score that parts two bands."""
+    a, b = np.quantile(low, 1 - EDGE), np.quantile(high, EDGE)
+    if a < b:
+        return float((a + b) / 2)
+    at = np.unique(np.concatenate([low, high]))
+    errors = [(low >= t).mean() + (high < t).mean() for t in at]
+    return float(np.median(at[np.array(errors) == min(errors)]))
+
+
 def fit(sample: list[tuple[int, float, float]]) -> tuple[float, float, dict[int, float]]:
     """Weights of the unfamiliar share and the length, and the least score of each band, from (band, share, length).
 
-    The weights are Fisher's direction between the two highest bands; a limit lies halfway between the quarter of the
-    lower band that scores highest and the quarter of the upper one that scores lowest."""
+    The weights are Fisher's direction between the two highest bands; a limit lies halfway between what EDGE of the lower
+    band exceed and what EDGE of the upper band stay under; where these overlap, it is the one with the fewest errors."""
     x = {b: np.array([r[1:] for r in sample if r[0] == b]) for b in {r[0] for r in sample}}
     bands = sorted(x)
     pairs = [(a, b) for a, b in zip(bands, bands[1:]) if b == a + 1 and len(x[a]) > 1 and len(x[b]) > 1]
@@ -104,7 +116,7 @@ def fit(sample: list[tuple[int, float, float]]) -> tuple[float, float, dict[int,
         w = np.array([15.79, 0.0496])
     limits = {}
     for a, b in pairs:
-        limits[b] = float((np.quantile(x[a] @ w, 0.75) + np.quantile(x[b] @ w, 0.25)) / 2)
+        limits[b] = limit(x[a] @ w, x[b] @ w)
     return float(w[0]), float(w[1]), limits
 
 
