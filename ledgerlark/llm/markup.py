@@ -45,7 +45,8 @@ INLINE = [
     ("tex", "formula", re.compile(r"(?<![\\\w])\\\[(.+?)\\\]", re.S)),
     ("tex", "formula", re.compile(r"(?<![\\\w])\\\((.+?)\\\)", re.S)),
     ("tex", "command", re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{")),
-    ("tex", "command", re.compile(r"(?<![\w\\:])\\(?:" + "|".join(COMMANDS) + r")(?![A-Za-z\\])")),
+    ("tex", "command", re.compile(r"(?<![\w\\:\xad\u200b-\u200f\u2060\ufeff])\\(?:" + "|".join(COMMANDS) + r")(?![A-Za-z\\])")),
+    ("tex", "command", re.compile(r"(?:(?<=[\s(\[{])|^)\\[A-Za-z]{3,}\*?(?![A-Za-z\\:])", re.M)),
     ("tex", "escape", re.compile(r"\\[%$&#_{}](?![\\\w]*\\)")),
 ]
 ATX = re.compile(r"(#{1,6})[ \t]+(\S.*?)(?:[ \t]+#+)?[ \t]*$")
