@@ -149,9 +149,21 @@ def _units(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"token": list(n), "n": list(n.values())})
 
 
-def strong(form: str, token: str) -> bool:
+def western(ch: str) -> bool:
+    """A Latin letter or a sign: one alone may be garbled; other scripts come in runs."""
+    return ud.name(ch, "").startswith("LATIN") or not ch.isalpha() and ord(ch) < 0x3000
+
+
+def strong(form: str, token: str, chain: str) -> bool:
     """True if a form can't be a clean word by chance; the others count only beside a strong one of their chain."""
-    return len(form) > len(token) or LOST in form or sum(ord(c) > 127 for c in form) >= 3 or len(form) >= 5
+    if LOST in form:
+        return True
+    odd = [c for c in token if ord(c) > 127]
+    if chain.startswith("utf-8"):
+        return len(odd) > 1 or western(odd[0])
+    if len(form) > len(token):
+        return len(odd) > 1
+    return not any(c.isspace() for c in form) and (sum(ord(c) > 127 and c.isalpha() for c in form) >= 3 or len(form) >= 5 and form.isalpha())
 
 
 def _forms(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -161,7 +173,7 @@ def _forms(pdf: pd.DataFrame) -> pd.DataFrame:
             continue
         for form, chain in {f: c for f, c in reversed(wide_forms(token) + narrow_forms(token))}.items():
             if form != token:
-                rows.append((form, token, chain, n, strong(form, token)))
+                rows.append((form, token, chain, n, strong(form, token, chain)))
     return pd.DataFrame(rows, columns=["token", "original", "chain", "original_n", "strong"])
 
 
@@ -224,9 +236,7 @@ class Tiles:
         beside = text[max(0, at - 1) : at] + text[end : end + 1]
         cyrillic = any("CYRILLIC" in ud.name(c, "") for c in beside)
         if n == 1:
-            ch = decoded[0]
-            western = ud.name(ch, "").startswith("LATIN") or not ch.isalpha() and ord(ch) < 0x3000
-            return western and not (cyrillic and ("1251" in chain or "866" in chain or "koi8" in chain or "cyrillic" in chain))
+            return western(decoded[0]) and not (cyrillic and ("1251" in chain or "866" in chain or "koi8" in chain or "cyrillic" in chain))
         return n >= (3 if cyrillic else 2)
 
     def find(self, text: str) -> list[tuple[int, int, str, str]]:
