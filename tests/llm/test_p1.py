@@ -55,6 +55,12 @@ def test_latest_delivery_counts(filings):
     assert got == []
 
 
+def test_native_words_in_latin_letters_only(filings):
+    rows = [(1, "Руководство рынок"), (2, "Руководство рынок".translate({ord(k): v for k, v in forms.LOOKALIKE.items()})), (3, "Рукoводство рынок")]
+    got = {(r[0], r[1]) for r in p1.found_pairs(filings(rows)).collect()}
+    assert got == {(1, 2), (1, 3), (2, 3)}
+
+
 def test_forms_are_readable(spark, filings):
     rows = p1.forms_of(__import__("ledgerlark.llm.common", fromlist=["x"]).sections(filings([(1, "рост вырос"), (2, "poст выpoс")]))).collect()
     assert {r["form"] for r in rows} == {"рост вырос"}
