@@ -151,7 +151,7 @@ def _units(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def western(ch: str) -> bool:
     """A Latin letter or a sign: one alone may be garbled; other scripts come in runs."""
-    return ud.name(ch, "").startswith("LATIN") or not ch.isalpha() and ord(ch) < 0x3000
+    return ud.name(ch, "").startswith("LATIN") or not ch.isalpha() and (ord(ch) < 0x300 or 0x2000 <= ord(ch) < 0x2C00)
 
 
 def strong(form: str, token: str, chain: str) -> bool:
