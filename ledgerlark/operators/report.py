@@ -114,3 +114,33 @@ def event_study_table(study: stats.EventStudy, df: DataFrame) -> DataFrame:
     rows = [(name(i), m * 100, c, study.p_value) for i, (m, c) in enumerate(zip(study.quantile_means, study.quantile_counts))]
     out = df.sparkSession.createDataFrame(rows, "label string, mean_pct double, n long, p double")
     return out.withColumn("stars", F.when(F.isnan("p"), "").otherwise(stats.stars(F.col("p")))).drop("p")
+
+
+def in_order(df: DataFrame, *columns: str) -> DataFrame:
+    """O1, O2: sorted by the columns, missing values last (the reference's order is ticker, type, date)."""
+    names = columns or ("ticker", "filing_type", "filing_date")
+    return df.orderBy(*[F.col(c).asc_nulls_last() for c in names if c in df.columns])
+
+
+def text_samples(df: DataFrame, column: str, by: str, order: list[str], least: int = 200) -> DataFrame:
+    """For each value of `by` the first row whose text is longer than `least`."""
+    long = df.where(F.length(column) > least)
+    key = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in order])
+    return long.groupBy(by).agg(*[F.min_by(c, key).alias(c) for c in df.columns if c != by])
+
+
+def scatter(df: DataFrame, x: str, y: str, hue: str) -> DataFrame:
+    """The rows with both figures, with the column that colours them."""
+    return stats.complete(df, [x, y], [hue])
+
+
+def word_count_distribution(df: DataFrame, column: str, bins: int = 40) -> tuple[DataFrame, DataFrame]:
+    """Histogram of the positive counts, and their median and mean."""
+    rows = df.where(F.col(column) > 0)
+    return stats.histogram(rows, column, bins), rows.agg(F.percentile(column, F.lit(0.5)).alias("median"), F.avg(column).alias("mean"))
+
+
+def sentiment_beside_price(panel: DataFrame, prices: DataFrame, ticker: str, column: str) -> tuple[DataFrame, DataFrame]:
+    """One ticker's sentiment by filing date and its price series, two results."""
+    own = panel.where((F.col("ticker") == ticker) & F.col(column).isNotNull()).select("filing_date", column)
+    return own.orderBy("filing_date"), prices.where(F.col("ticker") == ticker).select("dt", "close").orderBy("dt")

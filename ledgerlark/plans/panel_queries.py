@@ -185,6 +185,29 @@ def q_vol_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(rows.agg(F.count("*").alias("n"), (F.max(F.greatest("trailing_vol_63d", "forward_vol_63d")) * 1.05).alias("axis_limit"), F.corr("trailing_vol_63d", "forward_vol_63d").alias("corr")), ["n"])
 
 
+def q_text_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = base.filings(spark, sf_dir, "filing_type", "filing_date", "mda_text")
+    rows = report.text_samples(rows, "mda_text", "filing_type", ["filing_date", "filing_id"])
+    return rows.select("filing_type", "filing_id", F.length("mda_text").cast("long").alias("chars"))
+
+
+def q_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = report.scatter(_panel(spark, sf_dir), SIGNAL, OUTCOME, "sector")
+    return rows.groupBy("sector").agg(F.count("*").alias("n"), F.round(F.sum(SIGNAL), 6).alias("sum_x"), F.round(F.sum(OUTCOME), 6).alias("sum_y"))
+
+
+def q_word_count_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hist, mid = report.word_count_distribution(base.filings(spark, sf_dir, "word_count"), "word_count")
+    return _r(hist.crossJoin(F.broadcast(mid)), ["bin", "n"])  # one row of median and mean
+
+
+def q_ticker_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J13 for all tickers: how many filings with a signal lie beside how many closes."""
+    own = _panel(spark, sf_dir).where(F.col(SIGNAL).isNotNull() & F.col("ticker").isNotNull()).groupBy("ticker").agg(F.count("*").alias("filings"))
+    closes = base.prices(spark, sf_dir).groupBy("ticker").agg(F.count("*").alias("closes"), F.min("dt").alias("first"), F.max("dt").alias("last"))
+    return own.join(closes, "ticker", "left")
+
+
 _Q3 = "quantile_cont({s}, 1/3.0) AS e1, quantile_cont({s}, 2/3.0) AS e2"
 _C = f"c AS (SELECT {SIGNAL} AS s, {OUTCOME} AS r, filing_quarter FROM v WHERE {SIGNAL} IS NOT NULL AND {OUTCOME} IS NOT NULL)"
 _BIN = "CASE WHEN s <= e1 THEN 1 WHEN s <= e2 THEN 2 ELSE 3 END"
@@ -213,7 +236,8 @@ _LX = text_queries._lex_sql("item_1a_text").replace(", 6)", ", 15)")
 NAMES = (
     "q_panel q_panel_model q_sector_breakdown q_sector_compare q_quarter_mean q_sentiment_and_market q_summary_stats q_describe q_corr_matrix q_coverage q_filings_per_ticker q_date_range "
     "q_completeness q_kpis q_distinct_sectors q_hist q_dashboard q_quantile_means q_spread_series q_event_study q_event_study_table q_newey_west q_welch q_trend q_ols_single q_ols_hac "
-    "q_topk_coef q_period_slopes q_fama_macbeth q_fama_macbeth_many q_z_scores q_quarter_dummies q_vol_scatter"
+    "q_topk_coef q_period_slopes q_fama_macbeth q_fama_macbeth_many q_z_scores q_quarter_dummies q_vol_scatter "
+    "q_text_samples q_scatter q_word_count_distribution q_ticker_overview"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 SQL = {
@@ -278,4 +302,13 @@ SELECT panel_id, round((s - m) / (d + 1e-12) + 0.0, 6) AS z, round((s - qm) / CA
 SELECT dummy, n FROM a WHERE dummy <> (SELECT min(dummy) FROM a)""",
     "q_vol_scatter": f"""WITH {PANEL} SELECT count(*) AS n, round(max(greatest(trailing_vol_63d, forward_vol_63d)) * 1.05, 6) AS axis_limit, round(corr(trailing_vol_63d, forward_vol_63d), 6) AS corr
 FROM v WHERE trailing_vol_63d IS NOT NULL AND forward_vol_63d IS NOT NULL AND {SIGNAL} IS NOT NULL""",
+    "q_text_samples": f"""WITH {FILINGS} SELECT filing_type, filing_id, length(mda_text)::BIGINT AS chars FROM (
+  SELECT *, row_number() OVER (PARTITION BY filing_type ORDER BY coalesce(filing_date::VARCHAR, '~'), filing_id::VARCHAR) AS k FROM f WHERE length(mda_text) > 200) WHERE k = 1""",
+    "q_scatter": f"WITH {PANEL} SELECT sector, count(*) AS n, round(sum({SIGNAL}), 6) AS sum_x, round(sum({OUTCOME}), 6) AS sum_y FROM v WHERE {SIGNAL} IS NOT NULL AND {OUTCOME} IS NOT NULL GROUP BY sector",
+    "q_word_count_distribution": f"""WITH {FILINGS}, x AS (SELECT word_count::DOUBLE AS y FROM f WHERE word_count > 0), m AS (SELECT min(y) AS a, max(y) AS b, quantile_cont(y, 0.5) AS median, avg(y) AS mean FROM x),
+c AS (SELECT least(floor((y - a) / (b - a) * 40), 39)::BIGINT AS bin, count(*) AS n FROM x, m GROUP BY 1)
+SELECT i AS bin, round(a + i * ((b - a) / 40), 6) AS low, round(a + (i + 1) * ((b - a) / 40), 6) AS high, coalesce(n, 0) AS n, round(median, 6) AS median, round(mean, 6) AS mean
+FROM range(40) r(i) CROSS JOIN m LEFT JOIN c ON c.bin = i""",
+    "q_ticker_overview": f"""WITH {PANEL}, {PRICES}, o AS (SELECT ticker, count(*) AS filings FROM v WHERE {SIGNAL} IS NOT NULL AND ticker IS NOT NULL GROUP BY 1),
+k AS (SELECT ticker, count(*) AS closes, min(dt) AS first, max(dt) AS last FROM p GROUP BY 1) SELECT * FROM o LEFT JOIN k USING (ticker)""",
 }
