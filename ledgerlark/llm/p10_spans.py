@@ -212,4 +212,9 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p10_found": p10_found, "p10_share": p10_share}
-SQL: dict[str, str] = {}
+SQL = {
+    "p10_found": """WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 300),
+w AS (SELECT DISTINCT doc_id, md5(substring(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM d)),
+s AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), x AS (SELECT w.doc_id, h FROM w JOIN s USING (h))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id""",
+}

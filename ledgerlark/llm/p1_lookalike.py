@@ -249,4 +249,31 @@ def p1_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p1_spellings": p1_spellings}
-SQL: dict[str, str] = {}
+
+
+def _sql() -> str:
+    """The form by table in SQL, apart from the operator: one character for one, blanks and ignorables, Latin ligatures."""
+    special, _, look, _ = forms.tables()
+    one, gone, several = {}, "", {}
+    for i in [*range(0xA0, 0xD800), *range(0xE000, 0x20000), *[x for x in special if x >= 0x20000]]:
+        c = chr(i)
+        f = forms.folded(forms.shape(c))
+        if special.get(i) == "":
+            gone += c
+        elif len(f) == 1 and f != c:
+            one[c] = f
+        elif 0xFB00 <= i <= 0xFB06:
+            several[c] = f
+    q = lambda t: "'" + t.replace("'", "''") + "'"
+    t = "nfc_normalize({c})"
+    for c, f in several.items():
+        t = f"replace({t}, '{c}', '{f}')"
+    t = f"translate({t}, {q(''.join(one) + gone)}, {q(''.join(one.values()))})"
+    t = f"trim(regexp_replace(nfc_normalize({t}), '[ \\t\\n\\r\\f\\v\\x1c-\\x1f\\x85]+', ' ', 'g'))"
+    rows = " UNION ALL ".join(f"SELECT filing_id, '{s}' AS section, {c} AS raw FROM f" for s, c in common.SECTIONS)
+    return f"""WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY filing_id ORDER BY loaded_at DESC NULLS LAST) AS rn FROM filings_df WHERE filing_id IS NOT NULL) WHERE rn = 1),
+t AS (SELECT filing_id, section, raw, {t.replace('{c}', 'raw')} AS form FROM ({rows}) WHERE raw IS NOT NULL)
+SELECT a.filing_id AS filing_id_a, b.filing_id AS filing_id_b, a.section FROM t a JOIN t b ON a.section = b.section AND a.form = b.form AND a.filing_id < b.filing_id AND a.raw <> b.raw WHERE a.form <> ''"""
+
+
+SQL = {"p1_found": _sql()}

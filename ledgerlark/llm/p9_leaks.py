@@ -193,4 +193,8 @@ def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_coverage": p9_coverage}
-SQL: dict[str, str] = {}
+_WINDOWS = """SELECT {k}, array_to_string(ws[i:i + 11], ' ') AS h FROM (SELECT {k}, ws, unnest(range(1, len(ws) - 10)) AS i FROM (
+  SELECT {k}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS ws FROM {t} WHERE {k} IS NOT NULL AND text IS NOT NULL) WHERE len(ws) >= 12)"""
+SQL = {
+    "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({_WINDOWS.format(k='doc_id', t='documents')}) JOIN ({_WINDOWS.format(k='item_id', t='eval_items')}) USING (h)",
+}
