@@ -65,6 +65,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Deletes the tables that ``written`` left in the shared folder; results that read them must be done with."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/ledgerlark")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def batches(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """mapInPandas with a function of one Arrow batch."""
 
