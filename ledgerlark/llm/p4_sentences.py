@@ -17,6 +17,8 @@ from __future__ import annotations
 import re
 import unicodedata as ud
 from collections import Counter
+from collections.abc import Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -42,12 +44,24 @@ OPENING = "“‘«\"'([{「『【（‹„¿¡"
 FULL = "。．｡।॥։።።"
 ANY = "?!؟…⁈⁉‼"
 PAIRS = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "‹": "›"}
+OPEN = re.compile("[" + "".join(PAIRS) + "]")
 LEAST_TITLE = 3
 LEAST_CORPUS = 2
 
 
-def normal(text: str) -> tuple[str, list[int]]:
+CHANGED = re.compile("[\r\v\f\x85\u2028\u2029\u0300-\u036f]")
+
+
+@lru_cache(1)
+def marked() -> re.Pattern:
+    """Characters outside ASCII that the table changes."""
+    return forms.char_class(i for i in forms.tables()[0] if i > 127)
+
+
+def normal(text: str) -> tuple[str, Sequence[int]]:
     """The text without ignorables and accents of their own, in one width, and the place of each character."""
+    if not CHANGED.search(text) and (text.isascii() or not marked().search(text)):
+        return text, range(len(text))
     special = forms.tables()[0]
     out, at = [], []
     for i, c in enumerate(text):
@@ -89,6 +103,7 @@ CASELESS = re.compile(r"[֐-ࣿऀ-෿]")
 PARTICLES = "とってはがをにのもでなやかへよりま、，,"
 
 
+@lru_cache(100_000)
 def fold(word: str) -> str:
     return forms.folded(word).lower()
 
@@ -195,15 +210,12 @@ def ends(s: str, e: int, close: int, kind: str, before: str, after: str, doc: Do
 
 def quoted(s: str) -> list[tuple[int, int]]:
     """Spans of quotations, first to last character inside the marks."""
-    out, i = [], 0
-    while i < len(s):
-        close = PAIRS.get(s[i])
-        if close:
-            j = s.find(close, i + 1)
-            if j > 0:
-                out.append((i + 1, j))
-                i = j
-        i += 1
+    out, done = [], 0
+    for m in OPEN.finditer(s):
+        i = m.start()
+        if i >= done and (j := s.find(PAIRS[s[i]], i + 1)) > 0:
+            out.append((i + 1, j))
+            done = j + 1
     return out
 
 
