@@ -52,7 +52,7 @@ INLINE = [
 ATX = re.compile(r"(#{1,6})[ \t]+(\S.*?)(?:[ \t]+#+)?[ \t]*$")
 WIKI_HEAD = re.compile(r"(={2,6})[ \t]*([^=\s].*?)[ \t]*\1[ \t]*$")
 SETEXT = re.compile(r"(={3,}|-{3,})[ \t]*$")
-RULE = re.compile(r"(?:\*[ \t]*){3,}$|(?:_[ \t]*){3,}$|-{3,}[ \t]*$")
+RULE = re.compile(r"(?:\*[ \t]*){3,}$|_{3,}[ \t]*$|-{3,}[ \t]*$")
 BULLET = re.compile(r"[ \t]*([*+\-•]|\*{2,4})[ \t]+(\S.*)$")
 NUMBER = re.compile(r"[ \t]*(\d{1,3})[.)][ \t]+(\S.*)$")
 QUOTE = re.compile(r"(?:>[ \t]?)+(.*)$")
@@ -385,4 +385,5 @@ def render(blocks: list[Block]) -> str:
     return "".join(out)
 
 
-MAYBE = re.compile(r"[<&*_~`#=|\[\]{}\\$>'+•]|(?m:^[ \t]*(?:-|\d{1,3}[.)])|-{3})")
+#: A text without any of these holds no markup (a filter before the parser).
+MAYBE = re.compile(r"<[A-Za-z/!?]|&[A-Za-z#]|[*`\[{|\\]|__|~~|==|---|''|\$[^\s\d]|(?m:^[ \t]*(?:[-+•>#]|\d{1,3}[.)]))")
