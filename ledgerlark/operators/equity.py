@@ -93,9 +93,10 @@ def dense_prices(prices: DataFrame, backfill: bool = True) -> DataFrame:
     days = prices.agg(F.sort_array(F.collect_set("dt")).alias("_days"))  # one row, as long as the trading calendar
     grid = prices.select("ticker").distinct().crossJoin(F.broadcast(days)).select("ticker", F.explode("_days").alias("dt")).join(prices.select("dt", "ticker", "close"), ["dt", "ticker"], "left")
     before = by_ticker().rowsBetween(Window.unboundedPreceding, 0)
-    after = by_ticker().rowsBetween(0, Window.unboundedFollowing)
+    # before its first close a ticker's next close is that first one; a frame from each row to the end would be quadratic
+    first = F.first("close", True).over(by_ticker().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     filled = F.last("close", True).over(before)
-    return grid.select("dt", "ticker", F.coalesce(filled, F.first("close", True).over(after)).alias("close") if backfill else filled.alias("close"))
+    return grid.select("dt", "ticker", F.coalesce(filled, first).alias("close") if backfill else filled.alias("close"))
 
 
 def trading_days(prices: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ def calendar(days: DataFrame, dates: DataFrame) -> DataFrame:
     span = days.select(F.col("dt").alias("d")).unionByName(dates.select(F.col("day").alias("d"))).agg(F.min("d").alias("a"), F.max("d").alias("b"))
     spine = span.where("a is not null").select(F.explode(F.sequence("a", "b")).alias("day"))
     rows = spine.join(days.select(F.col("dt").alias("day"), F.col("dt").alias("_t")).distinct(), "day", "left")
-    return rows.select("day", F.first("_t", True).over(Window.orderBy("day").rowsBetween(0, Window.unboundedFollowing)).alias("event_date"))
+    return rows.select("day", F.last("_t", True).over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, 0)).alias("event_date"))
 
 
 def next_trading_day(df: DataFrame, day: str, prices: DataFrame, name: str = "event_date") -> DataFrame:
