@@ -20,4 +20,3 @@ def spark(tmp_path_factory):
     s.stop()
 
 
-DATA = "/root/testdata/sf0.001"
