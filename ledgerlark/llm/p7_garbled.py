@@ -1,8 +1,9 @@
 """Problem 7: text decoded with the wrong character encoding, found and restored.
 
 Every distinct clean token of the corpus (a run of characters outside ASCII, or a word that holds one) is encoded and
-decoded again under all chains of encodings, and the garbled forms are hash-joined with the tokens of the corpus: a
-token that equals the garbled form of a more frequent clean token is garbled, and that token is its original. The
+decoded again under all chains of encodings, and the garbled forms are hash-joined with the tokens of the corpus. Which
+of both is garbled is told by how natural they read (``cost``), summed over a section's tokens of the same chain, and
+only where that leaves it open by the number of different texts that hold them: copies of a text move neither. The
 characters of the clean tokens are the smallest units: their garbled forms (a table bounded by the number of
 characters in Unicode) tile the parts that no whole token matches. A lossy form (with U+FFFD) may have several
 originals; then it is found but not restored.
@@ -13,6 +14,7 @@ delivered several times the latest delivery counts."""
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata as ud
 from collections import Counter
@@ -143,10 +145,62 @@ def tokens(text: str) -> set[str]:
 
 
 def _units(pdf: pd.DataFrame) -> pd.DataFrame:
-    n = Counter()
-    for t in pdf["text"]:
-        n.update(tokens(t))
-    return pd.DataFrame({"token": list(n), "n": list(n.values())})
+    rows = [(x, raw) for raw, t in dict(zip(pdf["raw"], pdf["text"])).items() for x in tokens(t)]
+    return pd.DataFrame(rows, columns=["token", "raw"])
+
+
+@lru_cache(None)
+def kind(ch: str) -> str:
+    """The script of a letter or mark; "bad" for what no clean text holds, "sign" for other signs, "" for punctuation and blanks."""
+    c = ud.category(ch)
+    if c in ("Cc", "Co", "Cn", "Cs") or ch == LOST:
+        return "bad"
+    if c[0] in "LM":
+        return ud.name(ch, "?").split()[0] if ch not in "ªº" else "sign"
+    return "" if c[0] in "PZ" or c == "Cf" else "sign"
+
+
+#: Shares of the letters in Russian text, per mille; a letter of another Cyrillic alphabet counts as OTHER.
+CYRILLIC = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (110, 85, 80, 74, 67, 63, 55, 47, 45, 44, 35, 32, 30, 28, 26, 20, 19, 17, 17, 16, 16, 14, 12, 10, 9, 7, 6, 5, 4, 3, 3, 0.4, 0.4)))
+OTHER = 1.0
+#: Nats of surprise: a letter of any alphabet, one outside ASCII in Latin text, and what clean words hardly have.
+LETTER, ACCENT, SIGN, BAD, BREAK = 3.0, 5.0, 6.0, 12.0, 5.0
+#: Nats that decide for a section's tokens together, and for one token alone.
+DECIDED, ALONE = 2.0, 6.0
+
+
+@lru_cache(None)
+def _letter(ch: str) -> float:
+    k = kind(ch)
+    if k == "CYRILLIC":
+        return -math.log(CYRILLIC.get(ch.lower(), OTHER) / 1000)
+    return {"": LETTER, "sign": SIGN, "bad": BAD}.get(k, ACCENT if k == "LATIN" and ord(ch) > 127 else LETTER)
+
+
+def cost(token: str) -> float:
+    """How little a token reads as words of one script, in nats: the less, the more natural."""
+    total, last = 0.0, ""
+    for ch in token:
+        total += _letter(ch)
+        if last:
+            a, b = kind(last), kind(ch)
+            if a.isupper() and b.isupper():  # both letters
+                if a != b and not {a, b} <= SAME:
+                    total += BREAK
+                elif last.islower() and ch.isupper():
+                    total += BREAK
+                elif a == b == "LATIN" and ord(last) > 127 and ord(ch) > 127:
+                    total += LETTER
+                elif last.isupper() and ch.isupper():
+                    total += 0.3
+            elif a.isupper() and b in ("sign", "bad") or b.isupper() and a in ("sign", "bad"):
+                total += LETTER
+        last = ch
+    return total
+
+
+#: Scripts that stand side by side in one word, and marks.
+SAME = {"CJK", "HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA", "HALFWIDTH", "FULLWIDTH", "HANGUL", "IDEOGRAPHIC"}
 
 
 def western(ch: str) -> bool:
@@ -258,20 +312,27 @@ class Tiles:
 
 
 def vocabulary(secs: DataFrame) -> DataFrame:
-    """(token, n sections) of all tokens outside ASCII."""
-    rows = common.batches(secs.select("text"), _units, "token string, n long")
-    return rows.groupBy("token").agg(F.sum("n").alias("n"))
+    """(token, n different texts) of all tokens outside ASCII."""
+    rows = common.batches(secs.select("text", F.xxhash64("text").alias("raw")), _units, "token string, raw long")
+    return rows.distinct().groupBy("token").agg(F.count("*").alias("n"))
+
+
+def _leads(pdf: pd.DataFrame) -> pd.DataFrame:
+    lead = [BAD if LOST in t else cost(t) - cost(o) for t, o in zip(pdf["token"], pdf["original"])]
+    return pdf.assign(lead=lead)
 
 
 def originals(vocab: DataFrame) -> DataFrame:
-    """(token, original, chain, strong): garbled tokens of the corpus by chain; original NULL where there are several."""
+    """(token, original, chain, strong, lead, more): tokens of the corpus that are a form of another one, by chain.
+
+    lead: by how much the original reads better; more: it is in more texts. The original is NULL where there are several."""
     forms = common.batches(common.spread(vocab, "token"), _forms, "token string, original string, chain string, original_n long, strong boolean")
     # many times the size that Spark sees, so a broadcast would be chosen wrongly
-    hit = forms.hint("merge").join(vocab, "token").where((F.col("original_n") > F.col("n")) | F.col("token").contains(LOST))
-    best = F.max(F.struct("original_n", "original"))
+    hit = common.batches(forms.hint("merge").join(vocab, "token"), _leads, "token string, original string, chain string, original_n long, strong boolean, n long, lead double")
+    best = F.max(F.struct("original_n", "original", "lead", (F.col("original_n") > F.col("n")).alias("more")))
     rows = hit.groupBy("token", "chain").agg(best.alias("b"), F.min("original").alias("x"), F.max("original").alias("y"), F.max("strong").alias("strong"))
     one = (F.col("x") == F.col("y")) | ~F.col("token").contains(LOST)
-    return rows.select("token", F.when(one, F.col("b.original")).alias("original"), "chain", "strong")
+    return rows.select("token", F.when(one, F.col("b.original")).alias("original"), "chain", "strong", "b.lead", "b.more")
 
 
 def _scan(held):
@@ -287,6 +348,15 @@ def _scan(held):
 KEY = ["filing_id", "section", "raw"]
 
 
+def judged(matched: DataFrame, *more) -> DataFrame:
+    """(KEY, chain, *more) of the chains that garbled a section: its tokens together, or one of them alone, read better before."""
+    sure = F.when(F.col("strong"), F.col("lead"))
+    rows = matched.groupBy(*KEY, "chain").agg(F.sum("lead").alias("all"), F.max(sure).alias("top"), F.max(F.col("strong") & F.col("more")).alias("most"), *more)
+    open_ = (F.col("all") > -DECIDED) & F.col("most")
+    rows = rows.where(F.col("top").isNotNull() & ((F.col("top") >= ALONE) | (F.col("all") >= DECIDED) | open_))
+    return rows.drop("all", "top", "most")
+
+
 def _prepared(secs: DataFrame):
     spark = secs.sparkSession
     vocab = common.written(vocabulary(secs), "p7-vocabulary")
@@ -302,7 +372,7 @@ def _prepared(secs: DataFrame):
 def found(secs: DataFrame) -> DataFrame:
     """(filing_id, section) of the sections that hold garbled text, in their latest delivery."""
     _, rows, matched = _prepared(secs)
-    hit = matched.where("strong").select(*KEY).distinct().withColumn("hit", F.lit(True))
+    hit = judged(matched).select(*KEY).distinct().withColumn("hit", F.lit(True))
     rows = rows.select(*KEY, "loaded_at", "tiles").join(hit, KEY, "left")
     rows = rows.withColumn("garbled", (F.col("tiles") > 0) | F.coalesce("hit", F.lit(False)))
     # deliveries without any token outside ASCII are clean, but have to be seen as the latest ones
@@ -314,8 +384,9 @@ def found(secs: DataFrame) -> DataFrame:
 def restored(secs: DataFrame) -> DataFrame:
     """(filing_id, section, chains, complete, text) of each garbled section, with originals in place."""
     held, rows, matched = _prepared(secs)
-    pairs = matched.groupBy(*KEY).agg(F.collect_list(F.struct("token", "original", "chain", "strong")).alias("pairs"), F.max("strong").alias("sure"))
-    cases = rows.select(*KEY, "tiles").distinct().join(pairs, KEY, "left").where("tiles > 0 or sure").select(*KEY, "pairs")
+    pair = F.when(F.col("lead") > -DECIDED, F.struct("token", "original", "chain", "strong"))  # words that read well stay
+    pairs = judged(matched, F.collect_list(pair).alias("pairs")).groupBy(*KEY).agg(F.flatten(F.collect_list("pairs")).alias("pairs"))
+    cases = rows.select(*KEY, "tiles").distinct().join(pairs, KEY, "left").where("tiles > 0 or pairs is not null").select(*KEY, "pairs")
     texts = secs.withColumn("raw", F.xxhash64("text")).join(cases, KEY).select(*KEY, "loaded_at", "text", "pairs")
 
     def repair(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -40,3 +40,21 @@ def test_restored(table):
 def test_nothing(filings):
     assert p7.found(common.sections(filings([]))).collect() == []
     assert p7.found(common.sections(filings([(1, "é", "ß"), (2, "Ã", "Â")]))).collect() == []
+
+
+@pytest.mark.parametrize("right, wrong", [("cp1251", "latin-1"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp866", "cp1251"), ("cp1251", "mac_roman")])
+def test_copies_do_not_turn_the_direction(filings, right, wrong):
+    """Garbled copies outnumber the clean text, as one text and with a number of their own; the words are in one clean text."""
+    bad = garble(CLEAN[1], right, wrong)
+    hot = [(100 + i, bad if i % 2 else f"{bad} {i}") for i in range(30)]
+    got = p7.restored(common.sections(filings([(1, CLEAN[1]), (2, "Clean CHÂTEAU"), *hot]))).collect()
+    assert {r["filing_id"] for r in got} == {i for i, _ in hot}
+    assert all("рынок вырос" in r["text"] and r["chains"] == [f"{right}>{wrong}"] for r in got)
+
+
+def test_tie_and_hot_accents(filings):
+    bad, good = garble("Le café déjà fermé", "cp1252", "cp1251"), "Le café déjà fermé"
+    got = {r["filing_id"] for r in p7.found(common.sections(filings([(1, good), (2, bad)]))).collect()}
+    assert got == {2}
+    rows = [(i, good) for i in range(20)] + [(100, CLEAN[1])] + [(200 + i, f"{garble(CLEAN[1], 'cp1251', 'latin-1')} {i}") for i in range(20)]
+    assert {r["filing_id"] for r in p7.found(common.sections(filings(rows))).collect()} == {200 + i for i in range(20)}
