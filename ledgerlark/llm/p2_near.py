@@ -151,20 +151,42 @@ def filing_pairs(secs: DataFrame, without: DataFrame | None = None) -> DataFrame
     return rows.select(F.least("x", "y").alias("filing_id_a"), F.greatest("x", "y").alias("filing_id_b"), "section").distinct()
 
 
-def groups(members: DataFrame, pairs: DataFrame, most_rounds: int = 40) -> DataFrame:
+def _large_star(e: DataFrame) -> DataFrame:
+    """Every greater neighbour of a text goes to the least of the text and its neighbours."""
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small_star(e: DataFrame) -> DataFrame:
+    """Every lesser neighbour of a text, and the text, go to the least of them."""
+    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    rest = e.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """(a, l): each text of the edges with the least text of its connected component.
+
+    Large-star and small-star take turns on edges (u, v) with u > v until neither changes one, which is so when each
+    component is a star; every turn keeps the components, and the rounds grow with the square of the logarithm at most."""
+    content = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    star = common.written(edges.where("a > b").select(F.col("a").alias("u"), F.col("b").alias("v")), "p2-stars")
+    now = content(star)
+    while True:
+        old, star = now, common.written(_small_star(_large_star(star)), "p2-stars")
+        now = content(star)
+        if now == old:
+            break
+    return star.select(F.col("u").alias("a"), F.col("v").alias("l")).unionByName(star.select(F.col("v").alias("a"), F.col("v").alias("l")).distinct())
+
+
+def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(filing_id, section, group_id, links): connected groups of similar texts, one row per section that has any.
 
-    Labels fall to the least id of each neighbourhood and then to the label's label, so chains halve in each round."""
+    A group is named by its least text."""
     edges = common.written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "p2-edges")
-    label = common.written(edges.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("l")), "p2-labels")
-    for _ in range(most_rounds):
-        near_ = edges.join(label.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        step = label.join(near_, "a").select("a", F.least("l", "m").alias("l"), F.col("l").alias("old"))
-        up = label.select(F.col("a").alias("l"), F.col("l").alias("ll"))
-        step = common.written(step.join(up, "l").select("a", F.least("l", "ll").alias("l"), "old"), "p2-labels")
-        label = step.select("a", "l")
-        if step.where("l <> old").isEmpty():
-            break
+    label = _stars(edges)
     links = edges.groupBy("a").agg(F.count("*").alias("links"))
     rows = label.join(links, "a").join(members.withColumnRenamed("id", "a"), "a")
     return rows.select("filing_id", "section", F.hex("l").alias("group_id"), "links")

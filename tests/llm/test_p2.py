@@ -57,5 +57,23 @@ def test_groups_are_connected_components(spark, filings):
     assert {r["filing_id"] for r in rows} == set(range(5)) and len({r["group_id"] for r in rows}) == 1
 
 
+def test_long_chains_are_one_group_each(spark):
+    """Chains of edited versions whose ids are in no order, in falling order, and as a star."""
+    r = random.Random(7)
+    shuffled = r.sample(range(1000), 500)
+    falling = list(range(1500, 1200, -1))
+    edges = [*zip(shuffled, shuffled[1:]), *zip(falling, falling[1:]), *((2000, 2000 + i) for i in range(1, 40))]
+    ids = {*shuffled, *falling, *range(2000, 2040)}
+    key = lambda i: i.to_bytes(16, "big")
+    members = spark.createDataFrame([(i, "mda", key(i)) for i in ids], "filing_id long, section string, id binary")
+    pairs = spark.createDataFrame([(key(min(e)), key(max(e)), 0.9) for e in edges], "a binary, b binary, similarity double")
+    rows = p2.groups(members, pairs).collect()
+    assert len(rows) == len(ids) and {r["filing_id"] for r in rows} == ids
+    for part in (shuffled, falling, range(2000, 2040)):
+        assert {r["group_id"] for r in rows if r["filing_id"] in set(part)} == {key(min(part)).hex().upper()}
+    assert sum(r["links"] for r in rows) == 2 * len(edges)
+    assert p2.groups(members, pairs.limit(0)).collect() == []
+
+
 def test_nothing(filings):
     assert p2.filing_pairs(common.sections(filings([]))).collect() == []
