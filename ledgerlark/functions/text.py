@@ -105,7 +105,7 @@ def clean_text_exact(c: Column | str) -> Column:
     return _letters(_ascii(F.regexp_replace(text_of(c), "<[^>]+>", " ")))
 
 
-def get_sentences(c: Column | str, max_words: int = DEFAULT.sentence_max_words, cap: int = DEFAULT.sentence_cap_chars) -> Column:
+def get_sentences(c: Column | str, max_words: int = DEFAULT.sentence_max_words, cap: int | None = DEFAULT.sentence_cap_chars) -> Column:
     """Sentences by terminator and blank; one over max_words is cut at every comma and semicolon.
 
     cap is the reference's limit on the characters read; None reads the whole text."""

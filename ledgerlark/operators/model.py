@@ -87,15 +87,15 @@ def aggregate_array(scores: Column | str) -> Column:
     )
 
 
-def section_sentences(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """(keys, pos, sentence) of a text column."""
-    pieces = text.prepare_sentences(text.get_sentences(text_col))
+def section_sentences(df: DataFrame, keys: list[str], text_col: str, cap: int | None = None) -> DataFrame:
+    """(keys, pos, sentence) of a text column; of its first cap characters, if cap is given."""
+    pieces = text.prepare_sentences(text.get_sentences(text_col, cap=cap))
     return df.select(*keys, F.posexplode(pieces).alias("pos", "sentence"))
 
 
-def score_text(df: DataFrame, keys: list[str], text_col: str, make: Callable[[], Scorer], batch: int = DEFAULT.model_batch) -> DataFrame:
+def score_text(df: DataFrame, keys: list[str], text_col: str, make: Callable[[], Scorer], batch: int = DEFAULT.model_batch, cap: int | None = None) -> DataFrame:
     """M6: the aggregates of each row's text; a text without sentences has zeros."""
-    scored = score_sentences(section_sentences(df, keys, text_col), "sentence", make, batch)
+    scored = score_sentences(section_sentences(df, keys, text_col, cap), "sentence", make, batch)
     rows = df.select(*keys).distinct().join(aggregate_scores(scored, keys), keys, "left")
     return rows.withColumns({c: F.coalesce(c, F.lit(0)) if c == "n_sentences" else F.coalesce(c, F.lit(0.0)) for c in AGGREGATES})
 

@@ -38,3 +38,11 @@ def test_score_text_and_cache(spark):
 
     again, new = model.batch_sentiment(df, ["i"], "t", broken, fresh)
     assert new.count() == 0 and {tuple(r) for r in again.collect()} == {tuple(r) for r in got.collect()}
+
+
+def test_sentences_past_the_splitters_limit_count(spark):
+    df = spark.createDataFrame([(1, "Profit rose on strong gain " + "x" * 1_500_000 + ". It fell to a loss here.")], "i int, t string")
+    r = model.batch_sentiment(df, ["i"], "t", MAKE)[0].first()
+    assert (r["n_sentences"], r["positive_pct"], r["negative_pct"]) == (2, 0.5, 0.5)
+    assert model.model_columns(df, ["i"], {"fb_": "t"}, MAKE).first()["fb_finbert_n_sentences"] == 2
+    assert model.score_text(df, ["i"], "t", MAKE, cap=1_000_000).first()["n_sentences"] == 1
