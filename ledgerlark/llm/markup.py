@@ -27,6 +27,8 @@ COMMENT = re.compile(r"<!--.*?-->|<!DOCTYPE[^<>]*>|<!\[CDATA\[.*?\]\]>|<\?xml[^<
 ESCAPED = re.compile(rf"&lt;(/?)({_NAME})({_ATTR.replace('"', '(?:"|&quot;)')})(/?)&gt;|&lt;!--", re.I)
 ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 
+#: No sign that a name, a path or a formula has stands beside either underscore; neither is any inside.
+UNDERSCORED = re.compile(r"(?<![\w_\\^/.:@#$%&=+*{}-])_(?=[^\W_])([^_\n\\^$={}/]+)(?<=[^\s_])_(?![\w_\\^/:@#$%&=+*{}(\[-])(?!\.\w)")
 INLINE = [
     ("md", "image", re.compile(r"!\[([^\]\n]*)\]\(([^()\s]+)\)")),
     ("md", "link", re.compile(r"(?<!\])\[([^\[\]\n]+)\]\(([^()\s]+)\)")),
@@ -34,6 +36,7 @@ INLINE = [
     ("md", "bold", re.compile(r"(?<![\w_\\])__(?=[^\s_])([^_\n]+(?:\n(?!\n)[^_\n]+)*?)(?<=[^\s_])__(?![\w_])")),
     ("md", "strike", re.compile(r"(?<![\w~\\])~~(?=[^\s~])([^~\n]+)(?<=[^\s~])~~(?![\w~])")),
     ("md", "emphasis", re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n{}]+)(?<=[^\s*])\*(?![\w*{])")),
+    ("md", "emphasis", UNDERSCORED),
     ("md", "code", re.compile(r"(?<![`\\\w])`(?=[^`\s])([^`\n]+)(?<=[^`\s])`(?![`\w])")),
     ("wiki", "bold", re.compile(r"(?<!')'''(?=[^\s'])((?:[^'\n]|'(?!'))+?)'''(?!')")),
     ("wiki", "emphasis", re.compile(r"(?<!')''(?=[^\s'])((?:[^'\n]|'(?!'))+?)''(?!')")),
@@ -52,7 +55,7 @@ INLINE = [
 ATX = re.compile(r"(#{1,6})[ \t]+(\S.*?)(?:[ \t]+#+)?[ \t]*$")
 WIKI_HEAD = re.compile(r"(={2,6})[ \t]*([^=\s].*?)[ \t]*\1[ \t]*$")
 SETEXT = re.compile(r"(={3,}|-{3,})[ \t]*$")
-RULE = re.compile(r"(?:\*[ \t]*){3,}$|_{3,}[ \t]*$|-{3,}[ \t]*$")
+RULE = re.compile(r"(?:\*[ \t]*){3,}$|(?:_[ \t]*){3,}$|-{3,}[ \t]*$")
 BULLET = re.compile(r"[ \t]*([*+\-•]|\*{2,4})[ \t]+(\S.*)$")
 NUMBER = re.compile(r"[ \t]*(\d{1,3})[.)][ \t]+(\S.*)$")
 QUOTE = re.compile(r"(?:>[ \t]?)+(.*)$")
@@ -386,4 +389,4 @@ def render(blocks: list[Block]) -> str:
 
 
 #: A text without any of these holds no markup (a filter before the parser).
-MAYBE = re.compile(r"<[A-Za-z/!?]|&[A-Za-z#]|[*`\[{|\\]|__|~~|==|---|''|\$[^\s\d]|(?m:^[ \t]*(?:[-+•>#]|\d{1,3}[.)]))")
+MAYBE = re.compile(r"<[A-Za-z/!?]|&[A-Za-z#]|[*`\[{|\\]|__|~~|==|---|''|\$[^\s\d]|(?m:^[ \t]*(?:[-+•>#]|\d{1,3}[.)]|(?:_[ \t]*){3}))|" + UNDERSCORED.pattern)
