@@ -5,7 +5,8 @@ from __future__ import annotations
 import html
 import html.entities
 import re
-from dataclasses import dataclass, field
+from collections import Counter
+from dataclasses import dataclass
 
 # HTML element names that count as tags (others need a colon, as ix:nonNumeric has).
 TAGS = (
@@ -67,13 +68,12 @@ WIKI_TABLE = re.compile(r"\{\|.*$")
 
 @dataclass
 class Block:
-    """A leaf of the tree: its path of elements, what it is, its clean text, and the child elements inside."""
+    """A leaf of the tree: its path of elements, what it is, and its clean text."""
 
     path: str
     kind: str
     text: str
     level: int = 0
-    style: list[str] = field(default_factory=list)
 
 
 def entity(m: re.Match) -> bool:
@@ -85,28 +85,41 @@ def count_inline(text: str) -> int:
     return sum(1 for _, _, p in INLINE for _ in p.finditer(text))
 
 
+#: Innermost elements that a path names, so that deeply nested markup stays linear.
+DEPTH = 32
+
+
+def path_of(stack: list[str]) -> str:
+    return "/".join(stack[-DEPTH:])
+
+
 class Parser:
-    """Turns a text into blocks and counts its pieces of markup."""
+    """Turns a text into blocks and counts its pieces of markup by the path of the element they are."""
 
     VOID = {"br", "hr", "img", "input", "link", "meta", "col", "wbr", "base", "embed", "source", "param"}
     BLOCK = {
         "p", "div", "section", "article", "ul", "ol", "li", "table", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "header", "footer",
         "nav", "aside", "main", "body", "html", "dl", "dt", "dd", "form", "title", "center", "thead", "tbody", "tfoot", "caption", "address",
     }
+    CLOSED_BY_NEXT = {"li", "p", "td", "th", "tr", "dt", "dd", "option"}
     HIDDEN = {"script", "style", "head", "noscript", "template", "ix:header"}
 
     def __init__(self) -> None:
-        self.pieces = 0
+        self.marks: Counter[str] = Counter()
         self.blocks: list[Block] = []
 
+    def mark(self, path: str, n: int = 1) -> None:
+        if n:
+            self.marks[path] += n
+
     def parse(self, text: str) -> list[Block]:
         while "&lt;" in text or "&#60;" in text:  # escaped HTML is HTML
             if not ESCAPED.search(text):
                 break
-            self.pieces += 1
+            self.mark("#escaped")
             text = ESCAPED.sub(lambda m: m[0].replace("&lt;", "<").replace("&gt;", ">").replace("&quot;", '"'), text)
         text, n = COMMENT.subn(" ", text)
-        self.pieces += n
+        self.mark("#comment", n)
         stack: list[str] = []
         at, hidden, pre, buffer = 0, 0, 0, []
 
@@ -118,7 +131,7 @@ class Parser:
 
         for m in TAG.finditer(text) if "<" in text else ():
             name = m[2].lower()
-            self.pieces += 1
+            self.mark(path_of([*stack[-DEPTH:], name]))
             if not hidden:
                 buffer.append(text[at : m.start()])
             at = m.end()
@@ -139,7 +152,7 @@ class Parser:
             elif not (m[4] or name in self.VOID):
                 if block and not hidden:
                     flush()
-                if name == "li" and "li" in stack and stack[-1] == "li":
+                if name in self.CLOSED_BY_NEXT and stack and stack[-1] == name:
                     stack.pop()
                 if block or name in self.HIDDEN or name == "code":
                     stack.append(name)
@@ -150,7 +163,7 @@ class Parser:
         flush()
         return self.blocks
 
-    def clean(self, text: str) -> str:
+    def clean(self, text: str, at: str = "") -> str:
         """Text without inline markup; formulas keep their source, links their words."""
         held: list[str] = []
 
@@ -162,7 +175,7 @@ class Parser:
             def plain(m: re.Match) -> str:
                 if not entity(m):
                     return m[0]
-                self.pieces += 1
+                self.mark(at + "#entity")
                 return html.unescape(m[0])
 
             for _ in range(3):  # &amp;nbsp; was escaped twice
@@ -171,7 +184,7 @@ class Parser:
                     break
         for _, kind, p in INLINE:
             def swap(m: re.Match, kind=kind) -> str:
-                self.pieces += 1
+                self.mark(at + "#" + kind)
                 if kind == "formula":
                     return hold("$" + m[1].strip() + "$")
                 if kind == "code":
@@ -192,21 +205,21 @@ class Parser:
                 return m[1] if m.re.groups else m[0]
 
             if kind == "command":
-                text = self.commands(text, p)
+                text = self.commands(text, p, at)
             else:
                 text = p.sub(swap, text)
         for i, body in enumerate(held):
             text = text.replace(f"\x00{i}\x00", body)
         return re.sub(r"[ \t]{2,}", " ", text).strip()
 
-    def commands(self, text: str, p: re.Pattern) -> str:
+    def commands(self, text: str, p: re.Pattern, at_path: str) -> str:
         """Commands give their argument; citations, labels and references give nothing."""
         out, at = [], 0
         for m in p.finditer(text):
             if m.start() < at:
                 continue
-            self.pieces += 1
             name = re.match(r"\\([A-Za-z]+)", m[0])[1]
+            self.mark(f"{at_path}#{name}")
             head = text[at : m.start()]
             end, body = m.end(), ""
             if m[0].endswith("{"):
@@ -217,24 +230,26 @@ class Parser:
                 body, end = text[m.end() : i - 1] if not depth else text[m.end() :], i
                 if name in ("cite", "citep", "citet", "ref", "label", "eqref", "footnote", "begin", "end", "vspace", "hspace", "input", "include", "usepackage", "documentclass"):
                     body, head = "", head.removesuffix("~")
-            out += [head, self.commands(body, p) if "\\" in body else body]
+            out += [head, self.commands(body, p, at_path) if "\\" in body else body]
             at = end
         return "".join([*out, text[at:]])
 
     def add(self, stack: list[str], kind: str, text: str, level: int = 0) -> None:
-        text = self.clean(text) if kind not in ("code", "formula") else text.strip("\n")
+        path = path_of(stack)
+        text = self.clean(text, path) if kind not in ("code", "formula") else text.strip("\n")
         if text:
-            self.blocks.append(Block("/".join(stack), kind, text, level, []))
+            self.blocks.append(Block(path, kind, text, level))
 
     def lines(self, text: str, stack: list[str]) -> None:
         """Blocks of Markdown, wiki and LaTeX inside one HTML element."""
         own = stack[-1] if stack else ""
         if own in ("pre", "code") or "pre" in stack:
-            self.blocks.append(Block("/".join(stack), "code", html.unescape(text).strip("\n")))
+            self.blocks.append(Block(path_of(stack), "code", html.unescape(text).strip("\n")))
             return
         if re.fullmatch(r"h[1-6]", own):
             self.add(stack, "heading", " ".join(text.split()), int(own[1]))
             return
+        here = path_of([*stack, ""])
         rows = text.split("\n")
         i, para = 0, []
         in_list = False
@@ -257,7 +272,7 @@ class Parser:
                 stop = next((j for j in range(i + 1, len(rows)) if rows[j].strip().startswith(m[1][:3])), None)
                 if stop is not None:
                     end()
-                    self.pieces += 1
+                    self.mark(here + "fence")
                     self.add([*stack, "fence"], "code", "\n".join(rows[i + 1 : stop]))
                     i, fresh = stop + 1, True
                     continue
@@ -266,7 +281,7 @@ class Parser:
                 stop = next((j for j in range(i, len(rows)) if close in rows[j]), None)
                 if stop is not None:
                     end()
-                    self.pieces += 1
+                    self.mark(here + m[1])
                     body = "\n".join(rows[i : stop + 1]).split("}", 1)[1].split(close, 1)
                     code = m[1] in ("verbatim", "lstlisting")
                     self.add([*stack, m[1]], "code" if code else "formula", body[0].strip() if code else "$" + body[0].strip() + "$")
@@ -275,51 +290,51 @@ class Parser:
                     continue
             if re.match(r"\\(?:begin|end)\{[^}]*\}(?:\[[^\]]*\]|\{[^}]*\})*\s*$", s):
                 end()
-                self.pieces += 1
+                self.mark(here + "begin")
                 i, fresh = i + 1, True
                 continue
             if m := re.match(r"\\(part|chapter|section|subsection|subsubsection|paragraph|subparagraph|title)\*?\{(.*)\}\s*$", s):
                 end()
-                self.pieces += 1
+                self.mark(here + m[1])
                 level = {"part": 1, "chapter": 1, "title": 1, "section": 1, "subsection": 2, "subsubsection": 3}.get(m[1], 4)
                 self.add([*stack, m[1]], "heading", m[2], level)
                 i, fresh = i + 1, True
                 continue
             if m := re.match(r"\\item\b\s*(?:\[[^\]]*\])?\s*(.*)$", s):
                 end()
-                self.pieces += 1
+                self.mark(here + "item")
                 self.add([*stack, "itemize", "item"], "item", m[1])
                 i, fresh = i + 1, True
                 continue
             if fresh and (m := ATX.match(s)):
                 end()
-                self.pieces += 1
+                self.mark(here + f"h{len(m[1])}")
                 self.add([*stack, f"h{len(m[1])}"], "heading", m[2], len(m[1]))
                 i += 1
                 continue
             if m := WIKI_HEAD.match(s):
                 end()
-                self.pieces += 1
+                self.mark(here + f"h{len(m[1])}")
                 self.add([*stack, f"h{len(m[1])}"], "heading", m[2], len(m[1]))
                 i, fresh = i + 1, True
                 continue
             if fresh and i + 1 < len(rows) and SETEXT.match(rows[i + 1].strip()) and not BULLET.match(line):
                 end()
-                self.pieces += 1
+                self.mark(here + "head")
                 level = 1 if rows[i + 1].strip()[0] == "=" else 2
                 self.add([*stack, f"h{level}"], "heading", s, level)
                 i += 2
                 continue
             if fresh and RULE.match(s):
                 end()
-                self.pieces += 1
+                self.mark(here + "rule")
                 i += 1
                 continue
             if fresh and WIKI_TABLE.match(s):
                 stop = next((j for j in range(i + 1, len(rows)) if rows[j].strip().startswith("|}")), None)
                 if stop is not None:
                     end()
-                    self.pieces += 1
+                    self.mark(here + "table")
                     for r in rows[i + 1 : stop]:
                         r = r.strip()
                         if r.startswith("|-") or not r:
@@ -330,8 +345,8 @@ class Parser:
                     continue
             if fresh and ROW.match(s) and i + 1 < len(rows) and ROW_RULE.match(rows[i + 1]):
                 end()
-                self.pieces += 1
-                while i < len(rows) and ROW.match(rows[i]):
+                self.mark(here + "table")
+                while i < len(rows) and ROW.match(rows[i].strip()):
                     if not ROW_RULE.match(rows[i]):
                         self.add([*stack, "table", "tr"], "cell", " | ".join(c.strip() for c in rows[i].strip().strip("|").split("|")))
                     i += 1
@@ -339,19 +354,19 @@ class Parser:
                 continue
             if (fresh or in_list) and (m := BULLET.match(line)):
                 end()
-                self.pieces += 1
+                self.mark(here + "ul")
                 self.add([*stack, "ul", "li"], "item", m[2])
                 i, fresh, in_list = i + 1, False, True
                 continue
             if (fresh or in_list) and (m := NUMBER.match(line)) and (in_list or i + 1 < len(rows) and (k := NUMBER.match(rows[i + 1])) and int(k[1]) == int(m[1]) + 1):
                 end()
-                self.pieces += 1
+                self.mark(here + "ol")
                 self.add([*stack, "ol", "li"], "item", m[2])
                 i, fresh, in_list = i + 1, False, True
                 continue
             if fresh and (m := QUOTE.match(s)):
                 end()
-                self.pieces += 1
+                self.mark(here + "blockquote")
                 body = []
                 while i < len(rows) and (m := QUOTE.match(rows[i].strip())):
                     body.append(m[1])
@@ -360,7 +375,7 @@ class Parser:
                 fresh = True
                 continue
             if in_list and self.blocks:  # a wrapped item goes on
-                self.blocks[-1].text += "\n" + self.clean(line)
+                self.blocks[-1].text += "\n" + self.clean(line, self.blocks[-1].path)
                 i += 1
                 continue
             para.append(line)
@@ -369,11 +384,29 @@ class Parser:
         end()
 
 
+def tree(text: str) -> tuple[Counter[str], list[Block]]:
+    """The pieces of markup by the path of their element, and the blocks of the text.
+
+    A text that MAYBE doesn't match has no pieces, and its paragraphs are its blocks: the parser needn't run."""
+    if not MAYBE.search(text):
+        return Counter(), [Block("", "paragraph", x) for x in map(_plain, EMPTY_LINES.split(text)) if x]
+    p = Parser()
+    blocks = p.parse(text)
+    return p.marks, blocks
+
+
+EMPTY_LINES = re.compile(r"\n(?:[^\S\n]*\n)+")
+
+
+def _plain(paragraph: str) -> str:
+    return re.sub(r"[ \t]{2,}", " ", paragraph).strip()
+
+
 def parse(text: str) -> tuple[int, list[Block]]:
-    """The number of pieces of markup, and the blocks of the text."""
+    """The number of pieces of markup, and the blocks of the text, always by the parser."""
     p = Parser()
     blocks = p.parse(text)
-    return p.pieces, blocks
+    return p.marks.total(), blocks
 
 
 def render(blocks: list[Block]) -> str:
@@ -388,5 +421,6 @@ def render(blocks: list[Block]) -> str:
     return "".join(out)
 
 
-#: A text without any of these holds no markup (a filter before the parser).
-MAYBE = re.compile(r"<[A-Za-z/!?]|&[A-Za-z#]|[*`\[{|\\]|__|~~|==|---|''|\$[^\s\d]|(?m:^[ \t]*(?:[-+•>#]|\d{1,3}[.)]|(?:_[ \t]*){3}))|" + UNDERSCORED.pattern)
+#: A text without any of these holds no markup: every pattern of the parser begins with one of them. The parser strips lines
+#: of any blank, so those that must begin a line may have any blank but a line break before them.
+MAYBE = re.compile(r"<[A-Za-z/!?]|&[A-Za-z#]|[*`\[{|\\]|__|~~|==|---|''|\$[^\s\d]|(?m:^[^\S\n]*(?:[-+•>#]|\d{1,3}[.)]|(?:_[ \t]*){3}))|" + UNDERSCORED.pattern)
