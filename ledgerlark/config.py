@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+# The categories of the lexicon.
 CATEGORIES = ("negative", "positive", "uncertainty", "litigious", "strong_modal", "weak_modal", "constraining")
 
 # English stop words left out of token lists; a parameter of every function that tokenises.
@@ -19,7 +20,7 @@ STOP_WORDS = tuple(
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """Defaults that the reference's configuration fixes; pass another instance to change them."""
+    """The defaults; pass another instance to change them."""
 
     forms: tuple[str, ...] = ("10-K", "10-Q")
     start_date: str = "2015-01-01"
@@ -41,6 +42,7 @@ class EngineConfig:
 
 DEFAULT = EngineConfig()
 
+# Columns whose change from filing to filing is taken.
 DELTA_COLUMNS = (
     "lm_1a_negative_pct", "lm_1a_positive_pct", "lm_1a_uncertainty_pct", "lm_1a_net_sentiment", "lm_mda_negative_pct", "lm_mda_net_sentiment",
     "fb_1a_finbert_net_sentiment", "fb_mda_finbert_net_sentiment", "stat_1a_word_count", "stat_1a_fog_index",

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ledgerlark.functions import dates
 from ledgerlark.operators import equity, stats
 
+# Prefixes of the feature columns.
 NUMERIC_PREFIXES = ("lm_", "fb_", "stat_", "delta_", "abret_", "trailing_", "forward_")
 # Features of the default correlation matrix.
 CORRELATED = (
     "lm_1a_negative_pct", "lm_1a_positive_pct", "lm_1a_uncertainty_pct", "lm_1a_net_sentiment", "lm_mda_negative_pct", "lm_mda_net_sentiment", "fb_1a_finbert_net_sentiment",
-    "fb_mda_finbert_net_sentiment", "stat_1a_fog_index", "stat_1a_word_count", "abret_1d", "abret_5d", "abret_21d", "abret_63d", "trailing_vol_63d", "forward_vol_63d",
+    "fb_mda_finbert_net_sentiment", "stat_1a_fog_index", "stat_1a_vocabulary_richness", "stat_1a_word_count", "abret_1d", "abret_5d", "abret_21d", "abret_63d", "forward_vol_63d",
 )
 
 

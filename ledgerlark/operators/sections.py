@@ -27,12 +27,14 @@ HEADERS = {
     "q_risk": f"item\\s*1a{DASH}risk\\s*factors",
     "q_2u": f"item\\s*2{DASH}unregistered",
 }
+# Which header begins each section of a form, and which ones end it.
 RULES = {
     "10-K": {"item_1a": ("1a", ("1b", "2", "7")), "mda": ("7", ("7a", "8"))},
     "10-Q": {"item_1a": ("q_risk", ("q_2u",)), "mda": ("q_mda", ("q_3",))},
 }
 # Fixed value: two amounts side by side; $12.50 counts as two, because the first may end anywhere.
 MONEY = "(?:(?:\\$\\s*[\\d,]+)|(?:[\\d,]+\\.\\d{2})){2,}"
+# Elements whose text is left out.
 NOISE = ("script", "style", "ix:nonfraction", "ix:nonnumeric", "ix:header")
 
 
