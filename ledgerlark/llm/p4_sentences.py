@@ -16,8 +16,8 @@ from __future__ import annotations
 
 import re
 import unicodedata as ud
-from collections import Counter
-from collections.abc import Sequence
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -26,16 +26,11 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm import common, forms
 
-# Abbreviations that stand before a name, a number or a noun and never end a sentence.
-BEFORE = {
-    "mr mrs ms dr prof st messrs hon rev gen col lt capt fig figs no nos sec art arts vol ch pp para vs approx cf eq ca "  # English
-    "nr bzw mio mrd tsd abs ziff hr fr z d s u v "  # German
-    "m mm mme mlle mgr "  # French
-    "sr sra srta dra dña pág núm "  # Spanish, Portuguese
-    "п т ст гл рис см им тыс млн млрд стр д-р г-н г-жа "  # Russian
-    "د أ م डॉ श्री प्रो"  # Arabic, Hindi
-}
-BEFORE = {forms.folded(w).lower() for line in BEFORE for w in line.split()}
+# Abbreviations before a number and before a name. They count only where neither the document nor the corpus
+# holds any evidence on the word (a single document with one such place, say).
+PRIOR_NUMBER = "no nos nr núm fig figs sec art arts abs ziff vol ch pp pág para п ст гл рис стр т"
+PRIOR_NAME = "mr mrs ms dr prof st messrs hon rev gen col lt capt hr fr m mm mme mlle mgr sr sra srta dra dña им д-р г-н г-жа z d u v"
+PRIOR_NUMBER, PRIOR_NAME = ({forms.folded(w).lower() for w in line.split()} for line in (PRIOR_NUMBER, PRIOR_NAME))
 # German names of months, which follow an ordinal number.
 MONTHS = {"januar", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember"}
 GERMAN = {"der", "die", "das", "und", "im", "den", "des", "ein", "von", "zum", "für", "auf", "ist"}
@@ -45,8 +40,11 @@ FULL = "。．｡।॥։።።"
 ANY = "?!؟…⁈⁉‼"
 PAIRS = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "‹": "›"}
 OPEN = re.compile("[" + "".join(PAIRS) + "]")
+#: Occurrences in the corpus that are evidence of a title or of a word before numbers, and of other things.
 LEAST_TITLE = 3
 LEAST_CORPUS = 2
+#: How many times more often than otherwise a title stands with a full stop before a name.
+MOSTLY = 10
 
 
 CHANGED = re.compile("[\r\v\f\x85\u2028\u2029\u0300-\u036f]")
@@ -87,15 +85,18 @@ def normal(text: str) -> tuple[str, Sequence[int]]:
 def units(s: str) -> list[tuple[int, int]]:
     """Stretches between empty lines."""
     out, begin = [], 0
-    for m in re.finditer(r"\n[^\S\n]*(?:\n\s*)+", s):
+    for m in re.finditer(r"\n[^\S\n]*\n\s*", s):
         out.append((begin, m.start()))
         begin = m.end()
     return [*out, (begin, len(s))]
 
 
 STOP = re.compile(r"(?P<dots>\.(?:[ ]?\.){2,}|\.)|(?P<any>[" + re.escape(ANY) + "]+)|(?P<full>[" + re.escape(FULL) + "]+)")
-LETTER = r"(?:[^\W_]|[\u064b-\u065f\u0900-\u0963\u0966-\u0dff])"
-TOKEN_BEFORE = re.compile(rf"{LETTER}+(?:[.’'-]{LETTER}+)*$")
+#: Characters of words besides letters and digits: signs of Arabic and Indic scripts.
+SIGNS = re.compile("[\u064b-\u065f\u0900-\u0963\u0966-\u0dff]")
+JOINERS = ".’'-"
+BLANK = re.compile(r"\s*")
+OPENED = re.compile("[" + re.escape(OPENING) + " ]*")
 WORD_AFTER = re.compile(r"[^\W_]+")
 CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 THAI = re.compile(r"[฀-๿຀-໿ក-៿က-႟]")
@@ -108,124 +109,177 @@ def fold(word: str) -> str:
     return forms.folded(word).lower()
 
 
+TOKEN = re.compile(r"([^\W_]+(?:\.[^\W_]+)*)(\.?)(?=(\s*)(\S?))")
+
+
 class Doc:
-    """What a document itself says about its words."""
+    """What a document itself says about its words, from places that leave no doubt."""
 
     def __init__(self, s: str) -> None:
-        self.lower: set[str] = set()
-        self.dotted: set[str] = set()  # words with a full stop before a small letter, a comma or a number
-        self.plain: set[str] = set()
-        for m in re.finditer(r"([^\W_]+(?:\.[^\W_]+)*)(\.?)(?=(\s*)(\S?))", s):
+        self.lower: set[str] = set()  # common words: with a small letter
+        self.names: set[str] = set()  # with a capital inside a sentence
+        self.dotted: set[str] = set()  # with a full stop before a small letter or a comma
+        self.plain: set[str] = set()  # without full stop
+        self.numbered: Counter = Counter()  # with a full stop before a number
+        small, end = False, 0
+        for m in TOKEN.finditer(s):
             w = fold(m[1])
-            if m[1][0].islower():
+            first = m[1][0]
+            if first.islower():
                 self.lower.add(w)
+            elif small and first.isupper() and m.start() == end + 1 and s[end] in " \n":
+                self.names.add(w)
             if not m[2]:
                 self.plain.add(w)
-            elif m[4] and (m[4] in ",;:)" or m[3] and m[4].islower()) and not m[1].isdigit():
-                self.dotted.add(w)
-        words = {w for w in self.lower if w in GERMAN}
-        self.german = len(words) >= 3
+            elif m[4] and not m[1].isdigit():
+                if m[4] in ",;:)" or m[3] and m[4].islower():
+                    self.dotted.add(w)
+                elif m[3] and m[4].isdigit():
+                    self.numbered[w] += 1
+            small, end = first.islower() and not m[2], m.end()
+        self.german = len(self.lower & GERMAN) >= 3
+
+    def common(self, word: str, corpus: Corpus) -> bool:
+        """True if a capitalised word is a common one: by the document, else by the corpus."""
+        return len(word) > 1 and (word in self.lower or word not in self.names and corpus.usual(word))
+
+
+def word_before(s: str, end: int) -> str:
+    """The word that ends at a place, with the points, hyphens and apostrophes inside it."""
+    i = end
+    while i > 0:
+        c = s[i - 1]
+        if c.isalnum() or SIGNS.match(c) or i < end and c in JOINERS and i > 1 and (s[i - 2].isalnum() or SIGNS.match(s[i - 2])):
+            i -= 1
+        else:
+            break
+    return s[i:end]
 
 
-def sites(s: str) -> list[tuple[int, int, str, str, str]]:
-    """(end of the terminator, end with closing marks, terminator kind, word before, word after) of the places where a sentence may end."""
-    out = []
-    for m in STOP.finditer(s):
-        kind = m.lastgroup
+class Site:
+    """A place where a sentence may end: end of the terminator, end with closing marks, kind; what stands before and after."""
+
+    __slots__ = ("e", "close", "kind", "before", "after", "first", "lead", "blank")
+
+    def __init__(self, s: str, stop: int, m: re.Match, e: int) -> None:
+        self.e, self.close, self.kind = m.end(), e, m.lastgroup
+        at = BLANK.match(s, e, stop).end()
+        self.blank, self.first = at > e, s[at] if at < stop else ""
+        at = OPENED.match(s, at, stop).end()
+        self.lead = s[at] if at < stop else ""
+        # words matter where a full stop stands before a blank only, so no word is read twice
+        doubt = self.kind == "dots" and self.blank
+        self.before = word_before(s, m.start()) if doubt else ""
+        after = WORD_AFTER.match(s, at, stop) if doubt else None
+        self.after = after[0] if after else ""
+
+
+def sites(s: str, begin: int, stop: int) -> Iterator[Site]:
+    marks = [(m.start(), m[0]) for m in re.finditer("[«»]", s[begin:stop])] if "»" in s or "›" in s else []
+    k = 0
+    for m in STOP.finditer(s, begin, stop):
         e = m.end()
-        while e < len(s) and s[e] in CLOSING:
-            if s[e] in "\"'“’" and not (e + 1 == len(s) or s[e + 1].isspace() or s[e + 1] in CLOSING + ".,;:" or CJK.match(s[e + 1])):
+        while e < stop and s[e] in CLOSING:
+            if s[e] in "\"'“’" and not (e + 1 == stop or s[e + 1].isspace() or s[e + 1] in CLOSING + ".,;:" or CJK.match(s[e + 1])):
                 break
             e += 1
-        if e + 1 < len(s) and s[e] == " " and s[e + 1] in "»›" and "«" in s[:e].rsplit("»", 1)[-1]:
-            e += 2
-        before = TOKEN_BEFORE.search(s[max(0, m.start() - 40) : m.start()])
-        rest = s[e:].lstrip()[:60]
-        after = WORD_AFTER.match(rest.lstrip(OPENING + " "))
-        out.append((m.end(), e, kind, before[0] if before else "", after[0] if after else ""))
-    return out
+        if marks and e + 1 < stop and s[e] == " " and s[e + 1] in "»›":
+            while k < len(marks) and marks[k][0] + begin < e:
+                k += 1
+            if k and marks[k - 1][1] == "«":
+                e += 2
+        yield Site(s, stop, m, e)
 
 
 class Corpus:
     """Counts of the words of one section's doubtful places over all documents; empty: nothing known."""
 
-    def __init__(self, rows: dict[str, tuple[int, int, int, int, int]] | None = None) -> None:
+    def __init__(self, rows: dict[str, tuple[int, ...]] | None = None) -> None:
         self.rows = rows or {}
 
-    def get(self, word: str) -> tuple[int, int, int, int, int]:
-        """Small-letter occurrences; those without full stop; full stop before small letters, before capitals, of these before common words."""
-        return self.rows.get(word, (0, 0, 0, 0, 0))
+    def get(self, word: str) -> tuple[int, ...]:
+        """Occurrences with a small letter; without full stop; with one before a small letter, before a number, before names,
+        before common words; with a capital where a sentence begins without doubt, and inside one."""
+        return self.rows.get(word, (0,) * len(FACTS))
 
+    def usual(self, word: str) -> bool:
+        """True if the word is a common one, by its small letter or since its capital stands at beginnings only."""
+        x = self.get(word)
+        return x[0] >= LEAST_CORPUS or x[6] >= LEAST_CORPUS and x[6] >= MOSTLY * x[7]
 
-def ends(s: str, e: int, close: int, kind: str, before: str, after: str, doc: Doc, corpus: Corpus) -> bool:
-    """True if a sentence ends at this place of the unit s."""
-    rest = s[close:]
-    if not rest.strip():
+
+def ends(s: str, x: Site, doc: Doc, corpus: Corpus) -> bool:
+    """True if a sentence ends at this place."""
+    e, close, kind, first, lead = x.e, x.close, x.kind, x.first, x.lead
+    if not first:
         return True
-    blank = rest[0].isspace()
-    first = rest.lstrip()[0]
     prior = s[e - 2 : e - 1]
     dense = bool(CJK.match(prior)) or kind == "full" and not CASELESS.match(prior)
     if kind == "full" or dense and kind == "any":
         if close > e and s[close - 1] in "」』" and first in PARTICLES:
             return False
         return not (first in "、，,；;：:")
-    if not blank:
+    if not x.blank:
         return False
-    lead = rest.lstrip().lstrip(OPENING + " ")[:1]
-    caseless = bool(CASELESS.search(s[max(0, e - 12) : e])) or bool(lead and CASELESS.match(lead))
+    caseless = bool(CASELESS.search(s, max(0, e - 12), e)) or bool(lead and CASELESS.match(lead))
     if kind == "any" or kind == "dots" and e >= 3 and s[e - 3 : e].replace(" ", "").count(".") > 1:
         return first not in ",;:" and (caseless or not lead.islower())
-    if first in ",;:":
+    if first in ",;:" or lead.islower():
         return False
-    word = fold(before)
-    small = lead.islower()
+    word = re.split("[’']", fold(x.before))[-1]
+    _, plain, small, digit, name, common, _, _ = corpus.get(word)
+    known = small + digit + name + common
     if caseless:
-        if small:
-            return False
-        return not (word in BEFORE or len(re.sub(r"[^\w]", "", word)) == 1 and not word.isdigit())
-    if small:
-        return False
+        letters = len(re.sub(r"[^\w]", "", word))
+        always = letters <= 2 and known >= LEAST_TITLE and plain == 0 and word not in doc.plain
+        return not (letters == 1 and not word.isdigit() or always)
     if close > e and s[close - 1] in ")]" or not word:
         return True
     if word.isdigit() or re.fullmatch(r"[\d.,]+", word):
-        return not (doc.german and fold(after) in MONTHS)
-    if word in BEFORE or word.split("’")[-1] in BEFORE or word.split("'")[-1] in BEFORE:
-        return False
-    nxt = fold(after)
-    lower_n = corpus.get(nxt)[0]
-    common_next = nxt in doc.lower or lower_n >= LEAST_CORPUS
-    _, plain_n, dot_lower, dot_cap, dot_common = corpus.get(word)
-    if len(word) == 1 and before.isupper():  # an initial
-        return common_next and len(after) > 1
+        return not (doc.german and fold(x.after) in MONTHS)
+    common_next = doc.common(fold(x.after), corpus)
+    evidence = known >= LEAST_TITLE or plain >= LEAST_CORPUS or word in doc.plain or word in doc.dotted
+    if len(word) == 1 and x.before[-1:].isupper():  # an initial
+        return common_next
+    abbreviation = word in doc.dotted and word not in doc.plain or small >= LEAST_CORPUS and small > plain
+    if lead.isdigit():
+        if digit >= LEAST_TITLE and digit > name + common or doc.numbered[word] > 1 and word not in doc.plain or not evidence and word in PRIOR_NUMBER | PRIOR_NAME:
+            return False
     if not lead.isalpha():  # a number or a sign
-        return word not in doc.dotted and "." not in word and not (dot_lower >= LEAST_CORPUS and dot_lower > plain_n)
+        return not abbreviation and word not in doc.dotted and "." not in word
     short = "." in word
-    abbreviation = short or word in doc.dotted and word not in doc.plain or dot_lower >= LEAST_CORPUS and dot_lower > plain_n
-    title = dot_common == 0 and dot_cap >= LEAST_TITLE and plain_n == 0 and word not in doc.plain
-    if not abbreviation and not title:
+    title = name >= LEAST_TITLE and name >= MOSTLY * common and name >= MOSTLY * plain and word not in doc.plain
+    if not evidence and word in PRIOR_NAME:
+        return common_next
+    if not abbreviation and not title and not short:
         return True
-    return common_next or dot_common > 0 or short
+    return common_next or MOSTLY * common > name or short
 
 
-def quoted(s: str) -> list[tuple[int, int]]:
+def quoted(s: str, begin: int, stop: int) -> list[tuple[int, int]]:
     """Spans of quotations, first to last character inside the marks."""
-    out, done = [], 0
-    for m in OPEN.finditer(s):
+    out, done, open_ended = [], begin, set()
+    for m in OPEN.finditer(s, begin, stop):
         i = m.start()
-        if i >= done and (j := s.find(PAIRS[s[i]], i + 1)) > 0:
+        mark = PAIRS[s[i]]
+        if i < done or mark in open_ended:
+            continue
+        if (j := s.find(mark, i + 1, stop)) > 0:
             out.append((i + 1, j))
             done = j + 1
+        else:
+            open_ended.add(mark)
     return out
 
 
 def split(text: str, corpus: Corpus | None = None) -> list[int]:
-    """For each sentence the number of characters of the text up to and including its last one."""
+    """For each sentence the number of characters of the text up to and including its last one. Linear in the text."""
     s, at = normal(text)
     corpus, doc, out = corpus or Corpus(), Doc(s), []
 
     def put(end: int) -> None:
-        end -= len(s[:end]) - len(s[:end].rstrip())
+        while end and s[end - 1].isspace():
+            end -= 1
         last = at[end - 1] + 1
         while last < len(text) and 0x300 <= ord(text[last]) < 0x370:
             last += 1
@@ -233,72 +287,102 @@ def split(text: str, corpus: Corpus | None = None) -> list[int]:
             out.append(last)
 
     for begin, stop in units(s):
-        unit = s[begin:stop]
-        if not unit.strip():
+        if BLANK.match(s, begin, stop).end() == stop:
             continue
-        if THAI.search(unit) and len(THAI.findall(unit)) * 2 > len(re.sub(r"[\s\d\W]", "", unit)):
-            for m in re.finditer(r"\S+", unit):
-                put(begin + m.end())
+        if THAI.search(s, begin, stop) and len(THAI.findall(s, begin, stop)) * 2 > len(re.sub(r"[\s\d\W]", "", s[begin:stop])):
+            for m in SOLID.finditer(s, begin, stop):
+                put(m.end())
             continue
-        inside = quoted(unit)
-        for e, close, kind, before, after in sites(unit):
-            if any(a <= e < b for a, b in inside):
+        inside, k = quoted(s, begin, stop), 0
+        for x in sites(s, begin, stop):
+            while k < len(inside) and inside[k][1] <= x.e:
+                k += 1
+            if k < len(inside) and inside[k][0] <= x.e:
                 continue
-            if ends(unit, e, close, kind, before, after, doc, corpus):
-                put(begin + close)
+            if ends(s, x, doc, corpus):
+                put(x.close)
         put(stop)
     return out
 
 
+SOLID = re.compile(r"\S+")
+
+
 def doubtful(text: str) -> set[str]:
     """The words before and after the places of a text where a full stop leaves a doubt."""
     s, _ = normal(text)
     out = set()
     for begin, stop in units(s):
-        for _, _, kind, before, after in sites(s[begin:stop]):
-            if kind == "dots" and before and after:
-                out.add(fold(before))
-                out.add(fold(after))
+        for x in sites(s, begin, stop):
+            if x.before and x.lead and not x.lead.islower():
+                out.add(re.split("[’']", fold(x.before))[-1])
+                if x.after:
+                    out.add(fold(x.after))
     return out
 
 
-COUNTED = re.compile(r"([^\W_]+(?:\.[^\W_]+)*)(?:(\.)(\s+)([“\"'(«„]*)([^\W_]+|\S)?)?")
+WORDS = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
+DOTTED = re.compile(r"(?<![^\W_])(?<![^\W_]\.)(?>([^\W_]+(?:\.[^\W_]+)*))\.(?=(\s*)[“\"'(«„]*([^\W_]+|\S)?)")
+CAPITAL, SMALL = (forms.char_class(i for i in range(0x41, 0x590) if ud.category(chr(i)) == c).pattern for c in ("Lu", "Ll"))
+#: Capitalised words inside a sentence, and where one begins without doubt.
+INSIDE = re.compile(rf"[ ](?<={SMALL} )({CAPITAL}[^\W_]*)")
+BEGINS = re.compile(rf"(?:\A|\n[^\S\n]*\n|[?!…])\s*({CAPITAL}[^\W_]*)")
+FACTS = ["lower", "plain", "small", "digit", "name", "common", "begins", "inside"]
+COUNTED = "word string, next string, " + ", ".join(f"{f} long" for f in FACTS)
 
 
 def _count(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(word, kind, next): l small letter, p without full stop, s full stop before a small letter or number, c before a capital."""
-    n: Counter = Counter()
+    """The facts of each word over a batch. What follows a full stop is common if its document has it with a small letter;
+    where the document doesn't tell, the row names the next word, for the corpus to tell."""
+    seen, begins, inside, facts = Counter(), Counter(), Counter(), defaultdict(lambda: [0] * len(FACTS))
     for t in pdf["text"]:
         s, _ = normal(t)
-        pos = 0
-        while m := COUNTED.search(s, pos):
-            w = fold(m[1])
-            pos = m.start(5) if m[5] else m.end()
-            if w.isdigit():
+        own = WORDS.findall(s)
+        seen.update(own)
+        begins.update(BEGINS.findall(s))
+        inside.update(INSIDE.findall(s))
+        own = set(own)
+        for m in DOTTED.finditer(s):
+            word, gap, x = m.groups()
+            if word.isdigit():
+                continue
+            word = fold(word)
+            facts[word, None][1] -= 1
+            if not x or not gap:
+                continue
+            if x[0].islower() or x in ",;":
+                facts[word, None][2] += 1
+            elif x[0].isdigit():
+                facts[word, None][3] += 1
+            elif not x[0].isalpha():
                 continue
-            if m[1][0].islower():
-                n[w, "l", ""] += 1
-            if m[2]:
-                x = m[5] or ""
-                if x[:1].islower() or x[:1].isdigit() or x[:1] in (",", ";"):
-                    n[w, "s", ""] += 1
-                elif x[:1].isupper():
-                    n[w, "c", fold(x)] += 1
-            elif s[m.end() : m.end() + 1] != ".":
-                n[w, "p", ""] += 1
-    return pd.DataFrame([(*k, v) for k, v in n.items()], columns=["word", "kind", "next", "n"])
+            elif len(x) == 1:
+                facts[word, None][4] += 1
+            elif x.lower() in own:
+                facts[word, None][5] += 1
+            else:
+                facts[word, fold(x)][4] += 1
+    for w, n in seen.items():
+        if not w.isdigit():
+            f = facts[fold(w), None]
+            f[1] += n
+            if w[0].islower():
+                f[0] += n
+    for at, counts in ((6, begins), (7, inside)):
+        for w, n in counts.items():
+            facts[fold(w), None][at] += n
+    return pd.DataFrame([(*k, *f) for k, f in facts.items()], columns=["word", "next", *FACTS])
 
 
 def corpus_counts(secs: DataFrame) -> DataFrame:
-    """(word, lower, plain, dot_lower, dot_cap, dot_common) over all sections."""
-    rows = common.batches(secs.select("text"), _count, "word string, kind string, next string, n long")
-    rows = rows.groupBy("word", "kind", "next").agg(F.sum("n").alias("n"))
+    """(word, lower, plain, small, digit, name, common) over all sections."""
+    rows = common.batches(secs.select("text"), _count, COUNTED).groupBy("word", "next").agg(*[F.sum(f).alias(f) for f in FACTS])
     rows = common.written(rows, "p4-counts")
-    lower = rows.where(f"kind = 'l' and n >= {LEAST_CORPUS}").select(F.col("word").alias("next"))
-    common_next = rows.where("kind = 'c'").join(lower, "next", "left_semi").groupBy("word").agg(F.sum("n").alias("dot_common"))
-    total = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0))
-    by = rows.groupBy("word").agg(total("l").alias("lower"), total("p").alias("plain"), total("s").alias("dot_lower"), total("c").alias("dot_cap"))
-    return by.join(common_next, "word", "left").withColumn("dot_common", F.coalesce("dot_common", F.lit(0)))
+    known, open_ = rows.where("next is null").drop("next"), rows.where("next is not null").select("word", "next", "name")
+    usual = known.where(f"lower >= {LEAST_CORPUS} or begins >= {LEAST_CORPUS} and begins >= {MOSTLY} * inside").select(F.col("word").alias("next"), F.lit(True).alias("usual"))
+    told = open_.join(usual, "next", "left").withColumns({"common": F.when(F.col("usual"), F.col("name")).otherwise(0), "name": F.when(F.col("usual").isNull(), F.col("name")).otherwise(0)})
+    told = told.select("word", *[F.col(f) if f in ("name", "common") else F.lit(0).cast("long").alias(f) for f in FACTS])
+    return known.unionByName(told).groupBy("word").agg(*[F.sum(f).alias(f) for f in FACTS])
 
 
 def _doubts(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -308,7 +392,7 @@ def _doubts(pdf: pd.DataFrame) -> pd.DataFrame:
 def _split(pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     for i, s, t, known in zip(pdf["filing_id"], pdf["section"], pdf["text"], pdf["known"]):
-        rows = {r["word"]: (r["lower"], r["plain"], r["dot_lower"], r["dot_cap"], r["dot_common"]) for r in known} if known is not None else {}
+        rows = {r["word"]: tuple(r[f] for f in FACTS) for r in known} if known is not None else {}
         begin = 0
         for n, e in enumerate(split(t, Corpus(rows))):
             out.append((i, s, n, e, t[begin:e].strip()))
@@ -324,10 +408,11 @@ def sentences(filings: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     secs = common.sections(filings)
     mine = secs.join(wanted.select("filing_id", "section").distinct(), ["filing_id", "section"], "left_semi") if wanted is not None else secs
     mine = common.written(common.latest(mine, ["filing_id", "section"], ["text"]), "p4-texts")
-    doubts = common.batches(mine, _doubts, "filing_id long, section string, words array<string>")
-    facts = ["word", "lower", "plain", "dot_lower", "dot_cap", "dot_common"]
-    known = doubts.select("filing_id", "section", F.explode("words").alias("word")).join(corpus_counts(secs), "word")
-    known = known.groupBy("filing_id", "section").agg(F.collect_list(F.struct(*facts)).alias("known"))
+    doubts = common.batches(mine, _doubts, "filing_id long, section string, words array<string>").select("filing_id", "section", F.explode("words").alias("word"))
+    doubts = common.written(doubts, "p4-doubts")
+    facts = corpus_counts(secs).join(doubts.select("word").distinct(), "word")  # of the words asked for, so that few are repeated
+    known = common.join_salted(doubts, facts, "word", "filing_id")
+    known = known.groupBy("filing_id", "section").agg(F.collect_list(F.struct("word", *FACTS)).alias("known"))
     return common.batches(mine.join(known, ["filing_id", "section"], "left"), _split, SENTENCES)
 
 

@@ -50,10 +50,52 @@ def test_units_and_positions():
 def test_corpus_decides_where_the_document_cant():
     t = "We met Xyz. Bolt in town."
     assert parts(t) == ["We met Xyz.", "Bolt in town."]
-    title = p4.Corpus({"xyz": (0, 0, 0, 9, 0), "bolt": (0, 5, 0, 0, 0)})  # always dotted, before names only
+    title = p4.Corpus({"xyz": (0, 0, 0, 0, 9, 0, 0, 0), "bolt": (0, 5, 0, 0, 0, 0, 0, 0)})  # always dotted, before names only
     assert parts(t, title) == [t]
-    common = p4.Corpus({"xyz": (0, 0, 5, 9, 3), "bolt": (7, 5, 0, 0, 0)})  # an abbreviation, then a common word
+    common = p4.Corpus({"xyz": (0, 0, 5, 0, 6, 3, 0, 0), "bolt": (7, 5, 0, 0, 0, 0, 0, 0)})  # an abbreviation, then a common word
     assert parts(t, common) == ["We met Xyz.", "Bolt in town."]
+    starter = p4.Corpus({"xyz": (0, 0, 0, 0, 9, 0, 0, 0), "bolt": (0, 5, 0, 0, 0, 0, 9, 0)})  # its capital stands at beginnings only
+    assert parts(t, starter) == ["We met Xyz.", "Bolt in town."]
+    assert parts(t + " A bolt fell.", title)[0] == "We met Xyz."  # the document comes first
+    assert parts("See Abc. 5 of it.", p4.Corpus({"abc": (900, 900, 0, 5, 0, 1, 0, 0)})) == ["See Abc. 5 of it."]
+
+
+@pytest.mark.parametrize("t", ["The board said no. The company agreed.", "It went up in the last sec. The rate rose.", "It was filed on the art. We sold.", "It is a fig. Prices fell."])
+def test_words_of_the_list_end_sentences_too(t):
+    assert len(parts(t)) == 2
+
+
+def test_the_list_only_counts_without_evidence(monkeypatch):
+    """With evidence of the corpus the list changes nothing; without both, abbreviations end sentences."""
+    titles = {w: (0, 0, 0, 0, 20, 1, 0, 0) for w in ("dr", "mr", "sr", "z")} | {w: (0, 3, 0, 20, 0, 0, 0, 0) for w in ("no", "sec", "art")}
+    text = "See Note No. 5 and Sec. 13 of it. Mr. Venwick met Dr. Bolt. O Sr. Kavdris disse. Selon l’art. 5 la vente baisse. Für X wären z. B. Löhne ein Risiko."
+    want = ["See Note No. 5 and Sec. 13 of it.", "Mr. Venwick met Dr. Bolt.", "O Sr. Kavdris disse.", "Selon l’art. 5 la vente baisse.", "Für X wären z. B. Löhne ein Risiko."]
+    assert parts(text) == parts(text, p4.Corpus(titles)) == want
+    monkeypatch.setattr(p4, "PRIOR_NUMBER", set())
+    monkeypatch.setattr(p4, "PRIOR_NAME", set())
+    assert parts(text, p4.Corpus(titles)) == want
+    assert len(parts(text)) > len(want)
+
+
+def test_time_is_linear():
+    """Long texts with a stop after each word, long words, long blanks, marks that never close."""
+    import time
+
+    for unit in ("It rose. We sold. ", "a.", "x" * 50, ". " + " " * 50, "« a »", "„ a. ", "No. 5 ", "1.5 "):
+        took = []
+        for n in (20_000, 80_000):
+            t = unit * (n // len(unit))
+            began = time.process_time()
+            p4.split(t)
+            took.append(time.process_time() - began)
+        assert took[1] < 12 * took[0] + 0.2, unit
+
+
+def test_corpus_counts(spark, filings):
+    f = filings([(1, "Xyz. Bolt sold. A sec. 5 it is. Xyz. B. rose, as Bolt did. Inc. and the rest. The Ltd. They", "Xyz. Over it. They ran over. Over? Over")])
+    got = {r["word"]: tuple(r[c] for c in p4.FACTS) for r in p4.corpus_counts(p4.common.sections(f)).collect()}
+    assert got["xyz"][4:6] == (2, 1)
+    assert got["sec"][:4] == (1, 0, 0, 1) and got["inc"][2] == 1 and got["bolt"][7] == 1 and got["over"][0] == 1
 
 
 def test_table(spark, filings):
