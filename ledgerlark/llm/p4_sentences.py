@@ -28,8 +28,8 @@ from ledgerlark.llm import common, forms
 
 # Abbreviations before a number and before a name. They count only where neither the document nor the corpus
 # holds any evidence on the word (a single document with one such place, say).
-PRIOR_NUMBER = "no nos nr núm fig figs sec art arts abs ziff vol ch pp pág para п ст гл рис стр т"
-PRIOR_NAME = "mr mrs ms dr prof st messrs hon rev gen col lt capt hr fr m mm mme mlle mgr sr sra srta dra dña им д-р г-н г-жа z d u v"
+PRIOR_NUMBER = "approx ca eq no nos nr núm fig figs sec art arts abs ziff vol ch pp pág para п ст гл рис стр т"
+PRIOR_NAME = "mr mrs ms dr prof st messrs hon rev gen col lt capt hr fr m mm mme mlle mgr sr sra srta dra dña им д-р г-н г-жа vs cf bzw mio mrd tsd z d u v"
 PRIOR_NUMBER, PRIOR_NAME = ({forms.folded(w).lower() for w in line.split()} for line in (PRIOR_NUMBER, PRIOR_NAME))
 # German names of months, which follow an ordinal number.
 MONTHS = {"januar", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember"}
@@ -109,34 +109,34 @@ def fold(word: str) -> str:
     return forms.folded(word).lower()
 
 
-TOKEN = re.compile(r"([^\W_]+(?:\.[^\W_]+)*)(\.?)(?=(\s*)(\S?))")
+WORDS = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
+DOTTED = re.compile(r"(?<![^\W_])(?<![^\W_]\.)(?>([^\W_]+(?:\.[^\W_]+)*))\.(?=(\s*)(\S?)[“\"'(«„]*([^\W_]*))")
+CAPITAL, SMALL = (forms.char_class(i for i in range(0x41, 0x590) if ud.category(chr(i)) == c).pattern for c in ("Lu", "Ll"))
+#: Capitalised words inside a sentence, and where one begins without doubt.
+INSIDE = re.compile(rf"[ \n](?<={SMALL}.)({CAPITAL}[^\W_]*)", re.S)
+BEGINS = re.compile(rf"(?:\A|\n[^\S\n]*\n|[?!…])\s*({CAPITAL}[^\W_]*)")
 
 
 class Doc:
     """What a document itself says about its words, from places that leave no doubt."""
 
     def __init__(self, s: str) -> None:
-        self.lower: set[str] = set()  # common words: with a small letter
-        self.names: set[str] = set()  # with a capital inside a sentence
+        s = forms.folded(s)
+        words = Counter(WORDS.findall(s))
         self.dotted: set[str] = set()  # with a full stop before a small letter or a comma
-        self.plain: set[str] = set()  # without full stop
         self.numbered: Counter = Counter()  # with a full stop before a number
-        small, end = False, 0
-        for m in TOKEN.finditer(s):
-            w = fold(m[1])
-            first = m[1][0]
-            if first.islower():
-                self.lower.add(w)
-            elif small and first.isupper() and m.start() == end + 1 and s[end] in " \n":
-                self.names.add(w)
-            if not m[2]:
-                self.plain.add(w)
-            elif m[4] and not m[1].isdigit():
-                if m[4] in ",;:)" or m[3] and m[4].islower():
-                    self.dotted.add(w)
-                elif m[3] and m[4].isdigit():
-                    self.numbered[w] += 1
-            small, end = first.islower() and not m[2], m.end()
+        stops: dict[str, int] = {}
+        for w, gap, first, _ in DOTTED.findall(s):
+            stops[w] = stops.get(w, 0) + 1
+            if first and not w.isdigit():
+                if first in ",;:)" or gap and first.islower():
+                    self.dotted.add(w.lower())
+                elif gap and first.isdigit():
+                    self.numbered[w.lower()] += 1
+        stopped = stops.get
+        self.lower = {w.lower() for w in words if w[0].islower()}  # common words: with a small letter
+        self.plain = {w.lower() for w, n in words.items() if n > stopped(w, 0)}  # without full stop
+        self.names = {w.lower() for w in INSIDE.findall(s)}  # with a capital inside a sentence
         self.german = len(self.lower & GERMAN) >= 3
 
     def common(self, word: str, corpus: Corpus) -> bool:
@@ -321,12 +321,6 @@ def doubtful(text: str) -> set[str]:
     return out
 
 
-WORDS = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
-DOTTED = re.compile(r"(?<![^\W_])(?<![^\W_]\.)(?>([^\W_]+(?:\.[^\W_]+)*))\.(?=(\s*)[“\"'(«„]*([^\W_]+|\S)?)")
-CAPITAL, SMALL = (forms.char_class(i for i in range(0x41, 0x590) if ud.category(chr(i)) == c).pattern for c in ("Lu", "Ll"))
-#: Capitalised words inside a sentence, and where one begins without doubt.
-INSIDE = re.compile(rf"[ ](?<={SMALL} )({CAPITAL}[^\W_]*)")
-BEGINS = re.compile(rf"(?:\A|\n[^\S\n]*\n|[?!…])\s*({CAPITAL}[^\W_]*)")
 FACTS = ["lower", "plain", "small", "digit", "name", "common", "begins", "inside"]
 COUNTED = "word string, next string, " + ", ".join(f"{f} long" for f in FACTS)
 
@@ -336,41 +330,44 @@ def _count(pdf: pd.DataFrame) -> pd.DataFrame:
     where the document doesn't tell, the row names the next word, for the corpus to tell."""
     seen, begins, inside, facts = Counter(), Counter(), Counter(), defaultdict(lambda: [0] * len(FACTS))
     for t in pdf["text"]:
-        s, _ = normal(t)
+        s = forms.folded(normal(t)[0])
         own = WORDS.findall(s)
         seen.update(own)
         begins.update(BEGINS.findall(s))
         inside.update(INSIDE.findall(s))
         own = set(own)
-        for m in DOTTED.finditer(s):
-            word, gap, x = m.groups()
+        for word, gap, first, x in DOTTED.findall(s):
             if word.isdigit():
                 continue
-            word = fold(word)
+            word = word.lower()
             facts[word, None][1] -= 1
-            if not x or not gap:
+            if not first or not gap:
                 continue
-            if x[0].islower() or x in ",;":
+            if first.islower() or first in ",;":
                 facts[word, None][2] += 1
-            elif x[0].isdigit():
-                facts[word, None][3] += 1
-            elif not x[0].isalpha():
                 continue
+            x = x if not first.isalnum() else first + x
+            if not x or not x[0].isalnum():
+                continue
+            if x[0].isdigit():
+                facts[word, None][3] += 1
+            elif x[0].islower():
+                facts[word, None][2] += 1
             elif len(x) == 1:
                 facts[word, None][4] += 1
             elif x.lower() in own:
                 facts[word, None][5] += 1
             else:
-                facts[word, fold(x)][4] += 1
+                facts[word, x.lower()][4] += 1
     for w, n in seen.items():
         if not w.isdigit():
-            f = facts[fold(w), None]
+            f = facts[w.lower(), None]
             f[1] += n
             if w[0].islower():
                 f[0] += n
     for at, counts in ((6, begins), (7, inside)):
         for w, n in counts.items():
-            facts[fold(w), None][at] += n
+            facts[w.lower(), None][at] += n
     return pd.DataFrame([(*k, *f) for k, f in facts.items()], columns=["word", "next", *FACTS])
 
 

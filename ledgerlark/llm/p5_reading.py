@@ -18,6 +18,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,27 +53,40 @@ def sentences(text: str) -> list[str]:
     return [x for x in parts if x.rstrip("\"'”’»)]")[-1:] in tuple(".?!…")] or parts
 
 
-def _measure(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = []
-    for i, at, s, t in zip(pdf["filing_id"], pdf["loaded_at"], pdf["section"], pdf["text"]):
-        t = visible(t)
-        words = LETTERS.findall(t)
-        english = sum(w.lower() in FUNCTION_WORDS for w in words)
-        if len(words) < LEAST_WORDS or english < LEAST_FUNCTION_SHARE * len(words):
-            continue
-        whole = sentences(t)
-        words = [w for x in whole for w in LETTERS.findall(x)]
-        n = Counter(w for w in words if w.islower())
-        rows.append((i, at, s, len(words), len(whole), list(n), list(n.values())))
-    return pd.DataFrame(rows, columns=["filing_id", "loaded_at", "section", "words", "sentences", "own", "times"]).astype({"loaded_at": pdf["loaded_at"].dtype})
+def measure(text: str) -> tuple[int, int, list[str], list[int]] | None:
+    """(words, sentences, different common words, how often each) of an English text."""
+    t = visible(text)
+    words = LETTERS.findall(t)
+    n = Counter(words)
+    english = sum(c for w, c in n.items() if w.lower() in FUNCTION_WORDS)
+    if len(words) < LEAST_WORDS or english < LEAST_FUNCTION_SHARE * len(words):
+        return None
+    whole = sentences(t)
+    n = Counter(LETTERS.findall("\n".join(whole)))
+    own = [w for w in n if w.islower()]
+    return n.total(), len(whole), own, [n[w] for w in own]
 
 
-MEASURED = "filing_id long, loaded_at timestamp, section string, words long, sentences long, own array<string>, times array<long>"
+def _measure(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The figures of each section of a batch; those of other languages have none."""
+    rows = [measure(t) or (None, None, None, None) for t in batch.column("text").to_pylist()]
+    words, sents, own, times = zip(*rows)
+    cols = {c: batch.column(c) for c in batch.schema.names if c != "text"}
+    cols |= {"words": pa.array(words, pa.int64()), "sentences": pa.array(sents, pa.int64()), "own": pa.array(own, pa.list_(pa.string())), "times": pa.array(times, pa.list_(pa.int64()))}
+    return pa.RecordBatch.from_pydict(cols)
+
+
+MEASURED = "filing_id long, loaded_at timestamp, section string, raw long, words long, sentences long, own array<string>, times array<long>"
 
 
 def measured(secs: DataFrame) -> DataFrame:
-    """(filing_id, section, unfamiliar, length) of each English section."""
-    rows = common.written(common.batches(secs, _measure, MEASURED), "p5-words")
+    """(filing_id, section, unfamiliar, length) of each section that is English in its latest delivery."""
+    secs = secs.select("filing_id", "loaded_at", "section", F.xxhash64("text").alias("raw"), "text")
+    rows = common.written(common.arrow_batches(secs, _measure, MEASURED), "p5-words")
+    last = common.latest(rows.select("filing_id", "section", "loaded_at", "raw", F.col("words").isNotNull().alias("english")), ["filing_id", "section"], ["raw", "english"])
+    key = ["filing_id", "section", "raw"]
+    rows = rows.where("words is not null").join(last.where("english").select(*key), key, "left_semi").dropDuplicates(key)
+    rows = common.written(rows, "p5-latest")
     n = rows.count()
     seen = rows.select(F.explode("own").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     familiar = frozenset(r["word"] for r in seen.where(F.col("df") >= FAMILIAR * n).collect())  # bounded, see above
@@ -83,10 +97,9 @@ def measured(secs: DataFrame) -> DataFrame:
             strange = sum(c for w, c in zip(own, times) if w not in familiar)
             out.append(strange / max(1, sum(times)))
         length = pdf["words"] / pdf["sentences"].clip(lower=1)
-        return pdf[["filing_id", "loaded_at", "section"]].assign(unfamiliar=out, length=length)
+        return pdf[["filing_id", "section"]].assign(unfamiliar=out, length=length)
 
-    rows = common.batches(rows, features, "filing_id long, loaded_at timestamp, section string, unfamiliar double, length double")
-    return common.latest(rows, ["filing_id", "section"], ["unfamiliar", "length"])
+    return common.batches(rows, features, "filing_id long, section string, unfamiliar double, length double")
 
 
 def limit(low: np.ndarray, high: np.ndarray) -> float:

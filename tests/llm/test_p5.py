@@ -34,3 +34,10 @@ def test_fit():
     share, length, limits = p5.fit([(1, 0.1, 8.0), (1, 0.12, 9.0), (2, 0.2, 15.0), (2, 0.22, 16.0), (4, 0.9, 40.0)])
     assert set(limits) == {2} and 0.12 * share + 9 * length < limits[2] < 0.2 * share + 15 * length
     assert p5.fit([])[2] == {}
+
+
+def test_the_latest_delivery_counts(spark, filings):
+    none = spark.createDataFrame([], "filing_id long, section string, reading_band int")
+    easy = text(random.Random(1), 1)
+    rows = [(1, easy, None, 1), (1, "El margen de la compañía bajó en el año y no subió más.", None, 4), (2, "El margen bajó.", None, 1), (2, easy, None, 2), (2, easy, None, 2), (None, easy)]
+    assert [r["filing_id"] for r in p5.levels(filings(rows), none).collect()] == [2]
