@@ -96,7 +96,7 @@ STOP = re.compile(r"(?P<dots>\.(?:[ ]?\.){2,}|\.)|(?P<any>[" + re.escape(ANY) +
 SIGNS = re.compile("[\u064b-\u065f\u0900-\u0963\u0966-\u0dff]")
 JOINERS = ".’'-"
 BLANK = re.compile(r"\s*")
-OPENED = re.compile("[" + re.escape(OPENING) + " ]*")
+OPENED = re.compile(r"[\s" + re.escape(OPENING) + "]*")
 WORD_AFTER = re.compile(r"[^\W_]+")
 CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 THAI = re.compile(r"[฀-๿຀-໿ក-៿က-႟]")
@@ -241,7 +241,7 @@ def ends(s: str, x: Site, doc: Doc, corpus: Corpus) -> bool:
     evidence = known >= LEAST_TITLE or plain >= LEAST_CORPUS or word in doc.plain or word in doc.dotted
     if len(word) == 1 and x.before[-1:].isupper():  # an initial
         return common_next
-    abbreviation = word in doc.dotted and word not in doc.plain or small >= LEAST_CORPUS and small > plain
+    abbreviation = word in doc.dotted and word not in doc.plain or small >= LEAST_CORPUS and small > plain and MOSTLY * small > name + common
     if lead.isdigit():
         if digit >= LEAST_TITLE and digit > name + common or doc.numbered[word] > 1 and word not in doc.plain or not evidence and word in PRIOR_NUMBER | PRIOR_NAME:
             return False
