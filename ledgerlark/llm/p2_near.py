@@ -13,28 +13,33 @@ left out, as are rows without filing_id. Of a filing delivered several times the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ledgerlark.llm import common, forms
+from ledgerlark.llm import common, forms, p7_garbled
 
 SHINGLE = 3
 THRESHOLD = 0.5
-BANDS, ROWS = 80, 5
+#: Chance that an edge of similarity s is missed: (1 - s**ROWS)**BANDS, 0.0003 at 0.6 and 1e-8 at 0.7.
+BANDS, ROWS = 100, 5
 SKETCH = 128
-#: Chance that an edge of similarity s is missed: (1 - s**ROWS)**BANDS, 0.0015 at 0.6 and 2e-7 at 0.7.
 CHUNK = 2048
+#: Texts of one band that a part of its self-join holds.
+PART = 256
 
 
 @lru_cache(4)
 def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(20240229)
-    return (r.integers(1, 1 << 63, n, dtype=np.uint64) << np.uint64(1)) | np.uint64(1), r.integers(0, 1 << 63, n, dtype=np.uint64)
+    return r.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
 def shingles(words: list[str], k: int = SHINGLE) -> np.ndarray:
@@ -52,41 +57,56 @@ def signature(sh: np.ndarray, values: int) -> np.ndarray:
     """The least and the greatest of each permutation, alternately: `values` numbers of 32 bits."""
     a, b = permutations(values // 2)
     low, high = np.full(values // 2, 0xFFFFFFFF, dtype=np.uint32), np.zeros(values // 2, dtype=np.uint32)
-    for at in range(0, len(sh), CHUNK):  # long texts in blocks
-        p = ((sh[at : at + CHUNK, None] * a + b) >> np.uint64(32)).astype(np.uint32)
+    x = (sh >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(x), CHUNK):  # long texts in blocks
+        p = x[at : at + CHUNK, None] * a + b
         low, high = np.minimum(low, p.min(0)), np.maximum(high, p.max(0))
     return np.stack([low, high], 1).ravel()
 
 
-def bands_of(sig: np.ndarray, bands: int, rows: int) -> list[int]:
+def bands_of(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     x = sig[: bands * rows].reshape(bands, rows).astype(np.uint64)
     h = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
     for i in range(rows):
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + x[:, i]
-    return ((h ^ (h >> np.uint64(32))).view(np.int64)).tolist()
+    return ((h ^ (h >> np.uint64(32))).view(np.int64))
 
 
-SIGNED = "filing_id long, loaded_at timestamp, section string, form_id binary, n int, bands array<long>, sketch binary, shingles binary"
+SIGNED = "filing_id long, loaded_at timestamp, section string, raw long, id long, twin long, n int, bands array<long>, sketch binary"
 
 
-def signed(secs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Each section's form digest, shingle set, band hashes and sketch."""
+def shingles_of(text: str, shingle: int) -> tuple[str, np.ndarray]:
+    form = forms.skeleton(text)
+    return form, shingles(forms.words(form), shingle)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for t in pdf["text"]:
-            form = forms.skeleton(t)
-            sh = shingles(forms.words(form), shingle)
-            fid = xxhash.xxh3_128_digest(form.encode("utf-8", "surrogatepass"))
-            if not len(sh):
-                out.append((fid, 0, [], b"", b""))
-                continue
-            sig = signature(sh, bands * rows)
-            out.append((fid, len(sh), bands_of(sig, bands, rows), (sig[:SKETCH] & np.uint32(0xFF)).astype(np.uint8).tobytes(), sh.tobytes()))
-        extra = pd.DataFrame(out, columns=["form_id", "n", "bands", "sketch", "shingles"], index=pdf.index)
-        return pd.concat([pdf[["filing_id", "loaded_at", "section"]], extra], axis=1)
 
-    return common.batches(secs, run, SIGNED)
+def signed(secs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Each section's form digest (id, twin: two halves, with the section), number of shingles, band hashes and sketch.
+
+    The shingles themselves aren't kept: they are made again for the few texts that need an exact comparison."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, twins, n, hashes, sketches = [], [], [], [], []
+        for t, section in zip(batch.column("text").to_pylist(), batch.column("section").to_pylist()):
+            form, sh = shingles_of(t, shingle)
+            digest = np.frombuffer(xxhash.xxh3_128_digest(f"{section} {form}".encode("utf-8", "surrogatepass")), np.int64)
+            ids.append(digest[0])
+            twins.append(digest[1])
+            n.append(len(sh))
+            if len(sh):
+                sig = signature(sh, bands * rows)
+                hashes.append(bands_of(sig, bands, rows))
+                sketches.append((sig[:SKETCH] & np.uint32(0xFF)).astype(np.uint8).tobytes())
+            else:
+                hashes.append(np.zeros(0, np.int64))
+                sketches.append(b"")
+        at = np.cumsum([0, *map(len, hashes)], dtype=np.int32)
+        cols = {c: batch.column(c) for c in batch.schema.names if c != "text"} | {"id": pa.array(ids, pa.int64()), "twin": pa.array(twins, pa.int64()), "n": pa.array(n, pa.int32())}
+        cols |= {"bands": pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(hashes))), "sketch": pa.array(sketches, pa.binary())}
+        return pa.RecordBatch.from_pydict(cols)
+
+    rows_ = secs.select("filing_id", "loaded_at", "section", F.xxhash64("text").alias("raw"), "text")
+    return common.arrow_batches(rows_, run, SIGNED)
 
 
 def _likely(threshold: float):
@@ -114,40 +134,68 @@ def _similar(threshold: float):
     return run
 
 
-def text_pairs(signed_texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, similarity) of different texts (id, bands, sketch, shingles) at or over the threshold. Pass a written table."""
-    rows = common.spread(signed_texts.where("n > 0").select("id", "bands"), "id").select("id", F.explode("bands").alias("band"))
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b.hint("merge"), (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+def candidates(texts: DataFrame) -> DataFrame:
+    """(a, b) with a < b of texts (id, bands) that agree in a band.
+
+    Only rows whose band has others go on; a band of many texts is split into parts of PART on one side, each of which
+    meets the whole band on the other, so no task holds a band's pairs alone."""
+    rows = common.spread(texts.select("id", "bands"), "id").select("id", F.explode("bands").alias("band"))
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1")
+    rows = common.written(rows.withColumn("parts", F.ceil(F.col("n") / PART).cast("int")), "p2-bands")
+    a = rows.select(F.col("id").alias("a"), "band", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    b = rows.select(F.col("id").alias("b"), "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return a.join(b.hint("merge"), ["band", "part"]).where("a < b").select("a", "b").distinct()
+
+
+def text_pairs(texts: DataFrame, shingles_for: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, similarity) of different texts (id, n, bands, sketch) at or over the threshold. Pass a written table.
 
-    def beside(df: DataFrame, what: str, name: str) -> DataFrame:
-        x, y = (signed_texts.select(F.col("id").alias(k), F.col(what).alias(f"{name}_{k}")) for k in "ab")
+    shingles_for: (id, shingles) of the texts of a frame (id)."""
+    texts = texts.where("n > 0")
+
+    def beside(df: DataFrame, other: DataFrame, what: str, name: str) -> DataFrame:
+        x, y = (other.select(F.col("id").alias(k), F.col(what).alias(f"{name}_{k}")) for k in "ab")
         return df.join(x, "a").join(y, "b").select("a", "b", f"{name}_a", f"{name}_b")
 
-    likely = common.batches(beside(pairs, "sketch", "sketch"), _likely(threshold), "a binary, b binary")
-    return common.batches(beside(likely, "shingles", "set"), _similar(threshold), "a binary, b binary, similarity double")
+    likely = common.batches(beside(candidates(texts), texts, "sketch", "sketch"), _likely(threshold), "a long, b long")
+    likely = common.written(likely, "p2-likely")
+    asked = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
+    sets = common.written(shingles_for(asked), "p2-sets")
+    return common.batches(beside(likely, sets, "shingles", "set"), _similar(threshold), "a long, b long, similarity double")
 
 
 def near(secs: DataFrame, without: DataFrame | None = None, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """Members (filing_id, section, id) and similar texts (a, b, similarity). without: (filing_id, section) to leave out."""
+    """Members (filing_id, section, id) and similar texts (a, b, similarity). without: (filing_id, section) to leave out.
+
+    Texts are told apart by 128 bits of their form and named by 64 of them: of two texts with one name, were there ever
+    any, the one with the lesser other half is compared, and the members of both halves kept apart."""
     all_rows = common.written(signed(secs, shingle, bands, rows), "p2-signed")
-    key = F.concat(F.col("form_id"), F.when(F.col("section") == "mda", F.lit(b"m")).otherwise(F.lit(b"r"))).alias("id")
-    members = common.latest(all_rows.select("filing_id", "loaded_at", "section", key), ["filing_id", "section"], ["id"])
+    members = common.latest(all_rows.select("filing_id", "loaded_at", "section", "raw", "id", "twin"), ["filing_id", "section"], ["raw", "id", "twin"])
     if without is not None:
         members = members.join(without, ["filing_id", "section"], "left_anti")
     members = common.written(members, "p2-members")
-    # bands hash with the section, so texts of different sections never meet
-    texts = all_rows.select(key, "n", F.transform("bands", lambda x: F.xxhash64(x, "section")).alias("bands"), "sketch", "shingles")
+    # one filing stands for each text
+    stands = members.groupBy("id").agg(F.min(F.struct("twin", "filing_id", "section", "raw")).alias("s")).select("id", "s.*")
+    stands = common.written(stands, "p2-stands")
     # copies are merged in each task first, so a text that a third of the rows hold is moved once a task
-    texts = texts.dropDuplicates(["id"]).join(members.select("id").distinct(), "id", "left_semi")
-    return members, text_pairs(common.written(texts, "p2-texts"), threshold)
+    texts = all_rows.select("id", "twin", "n", "bands", "sketch").dropDuplicates(["id", "twin"]).join(stands.select("id", "twin"), ["id", "twin"], "left_semi").drop("twin")
+
+    def shingles_for(asked: DataFrame) -> DataFrame:
+        where = stands.join(asked, "id").select("id", "filing_id", "section", "raw")
+        rows_ = secs.select("filing_id", "section", F.xxhash64("text").alias("raw"), "text").join(where, ["filing_id", "section", "raw"]).select("id", "text")
+        return common.batches(rows_, lambda pdf: pd.DataFrame({"id": pdf["id"], "shingles": [shingles_of(t, shingle)[1].tobytes() for t in pdf["text"]]}), "id long, shingles binary").dropDuplicates(["id"])
+
+    members = members.join(stands.select("id", "twin"), ["id", "twin"], "left_semi").select("filing_id", "section", "id")
+    return members, text_pairs(common.written(texts, "p2-texts"), shingles_for, threshold)
 
 
 def filing_pairs(secs: DataFrame, without: DataFrame | None = None) -> DataFrame:
     members, pairs = near(secs, without)
-    x = members.select(F.col("filing_id").alias("x"), "section", F.col("id").alias("a"))
-    y = members.select(F.col("filing_id").alias("y"), F.col("id").alias("b"))
-    rows = pairs.join(x, "a").join(y, "b").where("x <> y")
+    pairs = common.written(pairs.select("a", "b"), "p2-pairs")
+    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    mine = common.written(members.join(asked, "id"), "p2-mine")
+    x = common.join_salted(mine.select(F.col("filing_id").alias("x"), "section", F.col("id").alias("a")), pairs, "a", "x")
+    rows = common.join_salted(x, mine.select(F.col("filing_id").alias("y"), F.col("id").alias("b")), "b", "x").where("x <> y")
     return rows.select(F.least("x", "y").alias("filing_id_a"), F.greatest("x", "y").alias("filing_id_b"), "section").distinct()
 
 
@@ -186,22 +234,13 @@ def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
 
     A group is named by its least text."""
     edges = common.written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "p2-edges")
-    label = _stars(edges)
     links = edges.groupBy("a").agg(F.count("*").alias("links"))
-    rows = label.join(links, "a").join(members.withColumnRenamed("id", "a"), "a")
+    rows = common.join_salted(members.withColumnRenamed("id", "a"), _stars(edges).join(links, "a"), "a", "filing_id")
     return rows.select("filing_id", "section", F.hex("l").alias("group_id"), "links")
 
 
-def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame | None:
-    try:
-        from ledgerlark.llm import p7_garbled
-    except ImportError:
-        return None
-    return p7_garbled.p7_found(spark, sf_dir)
-
-
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filing_pairs(common.sections(common.table(spark, sf_dir, "filings_df")), _garbled(spark, sf_dir))
+    return filing_pairs(common.sections(common.table(spark, sf_dir, "filings_df")), p7_garbled.p7_found(spark, sf_dir))
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

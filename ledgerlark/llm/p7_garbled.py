@@ -220,15 +220,21 @@ def strong(form: str, token: str, chain: str) -> bool:
     return not any(c.isspace() for c in form) and (sum(ord(c) > 127 and c.isalpha() for c in form) >= 3 or len(form) >= 5 and form.isalpha())
 
 
-def _forms(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = []
-    for token, n in zip(pdf["token"], pdf["n"]):
-        if not plain(token):
-            continue
-        for form, chain in {f: c for f, c in reversed(wide_forms(token) + narrow_forms(token))}.items():
-            if form != token:
-                rows.append((form, token, chain, n, strong(form, token, chain)))
-    return pd.DataFrame(rows, columns=["token", "original", "chain", "original_n", "strong"])
+def _forms(known: str):
+    """The forms of the clean tokens of a batch that consist of characters of the corpus; others meet no token."""
+    strange = re.compile("[^" + re.escape(known) + "]").search if known else None
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for token, n in zip(pdf["token"], pdf["n"]):
+            if strange is None or not plain(token):
+                continue
+            for form, chain in {f: c for f, c in reversed(wide_forms(token) + narrow_forms(token))}.items():
+                if form != token and not strange(form):
+                    rows.append((form, token, chain, n, strong(form, token, chain)))
+        return pd.DataFrame(rows, columns=["token", "original", "chain", "original_n", "strong"])
+
+    return run
 
 
 def _chars(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -326,7 +332,9 @@ def originals(vocab: DataFrame) -> DataFrame:
     """(token, original, chain, strong, lead, more): tokens of the corpus that are a form of another one, by chain.
 
     lead: by how much the original reads better; more: it is in more texts. The original is NULL where there are several."""
-    forms = common.batches(common.spread(vocab, "token"), _forms, "token string, original string, chain string, original_n long, strong boolean")
+    # at most one row for each character of Unicode
+    known = "".join(sorted(r[0] for r in vocab.select(F.explode(F.split("token", "")).alias("c")).distinct().collect()))
+    forms = common.batches(common.spread(vocab, "token"), _forms(known), "token string, original string, chain string, original_n long, strong boolean")
     # many times the size that Spark sees, so a broadcast would be chosen wrongly
     hit = common.batches(forms.hint("merge").join(vocab, "token"), _leads, "token string, original string, chain string, original_n long, strong boolean, n long, lead double")
     best = F.max(F.struct("original_n", "original", "lead", (F.col("original_n") > F.col("n")).alias("more")))
@@ -358,27 +366,26 @@ def judged(matched: DataFrame, *more) -> DataFrame:
 
 
 def _prepared(secs: DataFrame):
-    spark = secs.sparkSession
+    """The tiles; (KEY, loaded_at, tiles, tokens) of the sections that hold any; their tokens that are garbled forms."""
+    secs = secs.where(F.col("text").rlike(r"[^\x00-\x7F]"))  # ASCII holds no garbled text and no token of its own
     vocab = common.written(vocabulary(secs), "p7-vocabulary")
     chars = common.batches(vocab, _chars, "ch string, n long").groupBy("ch").agg(F.sum("n").alias("n"))
     # at most one row for each character of Unicode
-    held = spark.sparkContext.broadcast(Tiles([(r["ch"], r["n"]) for r in chars.collect()]))
+    held = secs.sparkSession.sparkContext.broadcast(Tiles([(r["ch"], r["n"]) for r in chars.collect()]))
     rows = common.batches(secs.withColumn("raw", F.xxhash64("text")), _scan(held), "filing_id long, loaded_at timestamp, section string, raw long, tiles int, tokens array<string>")
     rows = common.written(rows.where("tiles > 0 or size(tokens) > 0"), "p7-scanned")
-    matched = common.spread(rows.select(*KEY, "tokens"), "filing_id").select(*KEY, F.explode("tokens").alias("token")).distinct().join(originals(vocab), "token")
-    return held, rows, matched
+    own = common.spread(rows.select(*KEY, "tokens"), "filing_id").select(*KEY, F.explode("tokens").alias("token")).distinct()
+    return held, rows, common.join_salted(own, originals(vocab), "token", "filing_id")
 
 
 def found(secs: DataFrame) -> DataFrame:
-    """(filing_id, section) of the sections that hold garbled text, in their latest delivery."""
+    """(filing_id, section) of the sections that hold garbled text, in their latest delivery: whole tokens by the join,
+    stretches inside a token (a blank or a letter lost beside them) by the tiles of garbled characters."""
     _, rows, matched = _prepared(secs)
-    hit = judged(matched).select(*KEY).distinct().withColumn("hit", F.lit(True))
-    rows = rows.select(*KEY, "loaded_at", "tiles").join(hit, KEY, "left")
-    rows = rows.withColumn("garbled", (F.col("tiles") > 0) | F.coalesce("hit", F.lit(False)))
+    hit = judged(matched).select(*KEY).distinct().unionByName(rows.where("tiles > 0").select(*KEY)).distinct()
     # deliveries without any token outside ASCII are clean, but have to be seen as the latest ones
     every = secs.select("filing_id", "section", F.xxhash64("text").alias("raw"), "loaded_at")
-    every = common.latest(every, ["filing_id", "section"], ["raw"])
-    return every.join(rows.where("garbled").select(*KEY).distinct(), KEY, "left_semi").select("filing_id", "section")
+    return common.latest(every, ["filing_id", "section"], ["raw"]).join(hit, KEY, "left_semi").select("filing_id", "section")
 
 
 def restored(secs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlark.llm import common, forms, p2_near as p2
 
@@ -64,16 +65,32 @@ def test_long_chains_are_one_group_each(spark):
     falling = list(range(1500, 1200, -1))
     edges = [*zip(shuffled, shuffled[1:]), *zip(falling, falling[1:]), *((2000, 2000 + i) for i in range(1, 40))]
     ids = {*shuffled, *falling, *range(2000, 2040)}
-    key = lambda i: i.to_bytes(16, "big")
-    members = spark.createDataFrame([(i, "mda", key(i)) for i in ids], "filing_id long, section string, id binary")
-    pairs = spark.createDataFrame([(key(min(e)), key(max(e)), 0.9) for e in edges], "a binary, b binary, similarity double")
+    members = spark.createDataFrame([(i, "mda", i) for i in ids], "filing_id long, section string, id long")
+    pairs = spark.createDataFrame([(min(e), max(e), 0.9) for e in edges], "a long, b long, similarity double")
     rows = p2.groups(members, pairs).collect()
     assert len(rows) == len(ids) and {r["filing_id"] for r in rows} == ids
     for part in (shuffled, falling, range(2000, 2040)):
-        assert {r["group_id"] for r in rows if r["filing_id"] in set(part)} == {key(min(part)).hex().upper()}
+        assert {r["group_id"] for r in rows if r["filing_id"] in set(part)} == {format(min(part), "X")}
     assert sum(r["links"] for r in rows) == 2 * len(edges)
     assert p2.groups(members, pairs.limit(0)).collect() == []
 
 
+def test_a_hot_band_is_split_and_whole(spark):
+    """One band holds 1,500 texts: all its pairs come out, from parts of PART texts on one side."""
+    n = 1500
+    texts = spark.range(n).select("id", F.array(F.lit(7).cast("long"), F.col("id") + 100).alias("bands"))
+    got = p2.candidates(texts)
+    assert got.count() == n * (n - 1) // 2
+    assert spark.range(3).select("id", F.array(F.col("id")).alias("bands")).transform(p2.candidates).count() == 0
+
+
+def test_groups_of_many_copies(spark, filings):
+    """A third of the rows hold one text, written in many ways; a near text is linked with each of them."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, base.replace(" ", " " * (1 + i % 3))) for i in range(60)] + [(100 + i, " ".join(f"z{i}x{j}" for j in range(40))) for i in range(120)] + [(500, base + " end")]
+    got = {(r[0], r[1]) for r in p2.filing_pairs(common.sections(filings(rows))).collect()}
+    assert got == {(i, 500) for i in range(60)}
+
+
 def test_nothing(filings):
     assert p2.filing_pairs(common.sections(filings([]))).collect() == []
