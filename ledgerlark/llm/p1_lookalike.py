@@ -6,6 +6,8 @@ automaton: look-alikes and ignorables cost nothing, other edits cost 1, and the
 edit is a difference. The cheapest word of the vocabulary is the canonical spelling; a token that meets none gets its
 form by table. Tries are sharded by the first characters of the form, so a task holds one shard's vocabulary only.
 
+Texts are read once: that pass gives each section's form, or its text and the tokens to look up, and the vocabulary.
+
 Results: NULL, empty and blank texts have no form and belong to no class. Of a filing delivered several times the
 latest delivery counts. Blanks at both ends don't count. Rows without filing_id are left out."""
 
@@ -17,6 +19,7 @@ from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from ledgerlark.llm import common, forms
 
 #: Characters of the form that name a shard of the vocabulary.
-SHARD_CHARS = 3
+SHARD_CHARS = 5
 
 
 @lru_cache(1)
@@ -134,37 +137,69 @@ class Trie:
         return min(ends)[3] if ends else None
 
 
-def _scan(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per section: its digest; the form, or the text and its tokens that need a lookup."""
-    pat, special = token_pattern(), forms.tables()[1]
-    rows = []
-    for t in pdf["text"]:
-        if t.isascii():
-            rows.append((digest(t), forms.blanks(t), None))
-            continue
-        todo = sorted({x for x in pat.findall(t) if odd(x)})
-        rows.append((digest(t), t, todo) if todo else (digest(t), forms.blanks(special.sub(lambda m: forms.tables()[0][ord(m[0])], t)), None))
-    out = pdf[["filing_id", "loaded_at", "section"]].copy()
-    out[["raw", "body", "odd"]] = pd.DataFrame(rows, index=pdf.index, columns=["raw", "body", "odd"])
-    return out
+ASCII_WORDS = re.compile("[A-Za-z0-9]+")
+
+
+def tokens(text: str) -> tuple[set[str], set[str]]:
+    """The different tokens of a text: those in ASCII, and the others. Pieces between blanks are read apart, for speed."""
+    if text.isascii():
+        return set(ASCII_WORDS.findall(text)), set()
+    pieces = text.split()
+    other = [x for x in pieces if not x.isascii()]
+    found = set(token_pattern().findall(" ".join(other)))
+    plain = set(ASCII_WORDS.findall(" ".join(x for x in pieces if x.isascii())))
+    plain.update(x for x in found if x.isascii())
+    return plain, {x for x in found if not x.isascii()}
+
+
+def form_by_table(text: str) -> str:
+    special, found, _, _ = forms.tables()
+    return forms.blanks(found.sub(lambda m: special[ord(m[0])], text))
+
+
+SECTION = "filing_id long, loaded_at timestamp, section string, raw binary, form_id binary, form string, body string, odd array<string>"
+SCANNED = SECTION + ", shard string, is_word boolean, token string, n long"
 
 
-SCANNED = "filing_id long, loaded_at timestamp, section string, raw binary, body string, odd array<string>"
+def _scan(keep: bool):
+    """Rows of sections: the form's digest (with keep the form), or the text and its tokens that need a lookup; then rows of
+    the batch's vocabulary: words fit for it, and tokens to look up, with the number of texts that hold them."""
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw, ids, kept, bodies, odds, words, todo = [], [], [], [], [], Counter(), Counter()
+        for t in batch.column("text").to_pylist():
+            raw.append(digest(t))
+            plain, other = tokens(t)
+            words.update(plain)
+            mine = sorted(x for x in other if odd(x))
+            todo.update(mine)
+            words.update(other.difference(mine))
+            form = None if mine else forms.blanks(t) if t.isascii() else form_by_table(t)
+            ids.append(None if mine else digest(form))
+            kept.append(form if keep else None)
+            bodies.append(t if mine else None)
+            odds.append(mine or None)
+        vocabulary = [(x[:SHARD_CHARS] if x.isascii() else token_form(x)[:SHARD_CHARS], True, x, c) for x, c in words.items() if x.isalpha() and (x.isascii() or pure(x))]
+        for x, c in todo.items():
+            shard = token_form(x)[:SHARD_CHARS]
+            vocabulary.append((shard, False, x, c))
+            if pure(x):
+                vocabulary.append((shard, True, x, c))
+        n, v = batch.num_rows, len(vocabulary)
+        columns = list(zip(*vocabulary)) if v else [[]] * 4
+        own = [batch.column(c) for c in ("filing_id", "loaded_at", "section")] + [pa.array(raw, pa.binary()), pa.array(ids, pa.binary()), pa.array(kept, pa.string()), pa.array(bodies, pa.string()), pa.array(odds, pa.list_(pa.string()))]
+        kinds = (pa.string(), pa.bool_(), pa.string(), pa.int64())
+        cols = [pa.concat_arrays([x, pa.nulls(v, x.type)]) for x in own] + [pa.concat_arrays([pa.nulls(n, k), pa.array(list(c), k)]) for c, k in zip(columns, kinds)]
+        return pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in SCANNED.split(", ")])
 
-def _vocabulary(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Distinct tokens of a batch: words fit for the vocabulary with their counts, and tokens to look up."""
-    pat, n, todo = token_pattern(), Counter(), Counter()
-    for t in pdf["text"]:
-        for x in set(pat.findall(t)):
-            (todo if odd(x) else n)[x] += 1
-    rows = [(token_form(x)[:SHARD_CHARS], 0, x, c) for x, c in n.items() if x.isalpha() and pure(x)]
-    for x, c in todo.items():
-        f = token_form(x)
-        rows.append((f[:SHARD_CHARS], 1, x, c))
-        if pure(x):
-            rows.append((f[:SHARD_CHARS], 0, x, c))
-    return pd.DataFrame(rows, columns=["shard", "kind", "token", "n"])
+    return run
+
+
+def scanned(secs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Section rows and vocabulary rows, by one pass over the texts."""
+    rows = common.written(common.arrow_batches(secs, _scan(keep), SCANNED), "p1-scanned")
+    own = [f.split()[0] for f in SECTION.split(", ")]
+    return rows.where("raw is not null").select(*own), rows.where("token is not null").select("shard", "is_word", "token", "n")
 
 
 def _lookup(it):
@@ -172,10 +207,10 @@ def _lookup(it):
     trie, shard = Trie(), None
     for pdf in it:
         out = []
-        for s, kind, token, n in zip(pdf["shard"], pdf["kind"], pdf["token"], pdf["n"]):
+        for s, is_word, token, n in zip(pdf["shard"], pdf["is_word"], pdf["token"], pdf["n"]):
             if s != shard:
                 trie, shard = Trie(), s
-            if kind == 0:
+            if is_word:
                 trie.add(token, int(n))
             else:
                 word = trie.match(token)
@@ -183,40 +218,47 @@ def _lookup(it):
         yield pd.DataFrame(out, columns=["token", "spelling", "known"])
 
 
-def spellings(secs: DataFrame) -> DataFrame:
-    """(token, spelling, known) for each distinct token that isn't in plain form."""
-    seen = common.batches(secs.select("text"), _vocabulary, "shard string, kind int, token string, n long")
-    seen = seen.groupBy("shard", "kind", "token").agg(F.sum("n").alias("n"))
-    sorted_ = seen.repartition("shard").sortWithinPartitions("shard", "kind", "token")
+def spellings(vocabulary: DataFrame) -> DataFrame:
+    """(token, spelling, known) for each distinct token that isn't in plain form.
+
+    Only shards with a token to look up are brought together."""
+    asked = vocabulary.where("not is_word").select("shard").distinct()
+    seen = vocabulary.join(asked, "shard", "left_semi").groupBy("shard", "is_word", "token").agg(F.sum("n").alias("n"))
+    sorted_ = seen.repartition("shard").sortWithinPartitions(F.col("shard"), F.col("is_word").desc(), F.col("token"))
     return sorted_.mapInPandas(_lookup, "token string, spelling string, known boolean")
 
 
-def _apply(pdf: pd.DataFrame) -> pd.DataFrame:
-    pat, special = token_pattern(), forms.tables()
-    out = []
-    for body, pairs in zip(pdf["body"], pdf["pairs"]):
-        by = {p["token"]: p["spelling"] for p in pairs} if pairs is not None else {}
-        t = pat.sub(lambda m: m[0] if m[0].isascii() else by.get(m[0]) if m[0] in by else token_form(m[0]), body)
-        t = special[1].sub(lambda m: special[0][ord(m[0])], t)
-        out.append(forms.blanks(ud.normalize("NFC", t)))
-    return pdf[["filing_id", "loaded_at", "section", "raw"]].assign(form=out)
+def _apply(keep: bool):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pat, out = token_pattern(), []
+        for body, pairs in zip(pdf["body"], pdf["pairs"]):
+            by = {p["token"]: p["spelling"] for p in pairs} if pairs is not None else {}
+            t = " ".join(x if x.isascii() else pat.sub(lambda m: by.get(m[0]) if m[0] in by else token_form(m[0]), x) for x in body.split())
+            out.append(forms.blanks(ud.normalize("NFC", form_by_table(t))))
+        return pdf[["filing_id", "loaded_at", "section", "raw"]].assign(form_id=[digest(x) for x in out], form=out if keep else None)
+
+    return run
+
+
+FORMS = "filing_id long, loaded_at timestamp, section string, raw binary, form_id binary, form string"
 
 
-def forms_of(secs: DataFrame) -> DataFrame:
-    """(filing_id, loaded_at, section, raw digest, form) for each section (filing_id, loaded_at, section, text)."""
-    scanned = common.batches(secs, _scan, SCANNED)
-    plain = scanned.where("odd is null").select("filing_id", "loaded_at", "section", "raw", F.col("body").alias("form"))
-    odd = common.written(scanned.where("odd is not null"), "p1-odd")
+def forms_of(secs: DataFrame, keep: bool = False) -> DataFrame:
+    """(filing_id, loaded_at, section, raw digest, form_id, form) for each section (filing_id, loaded_at, section, text); form with keep."""
+    rows, vocabulary = scanned(secs, keep)
+    names = [f.split()[0] for f in FORMS.split(", ")]
     key = ["filing_id", "section", "raw"]
-    found = odd.select(*key, F.explode("odd").alias("token")).distinct().join(spellings(secs), "token")
-    pairs = found.groupBy(*key).agg(F.collect_list(F.struct("token", "spelling")).alias("pairs"))
-    done = odd.drop("odd").join(pairs, key, "left")
-    return plain.unionByName(common.batches(done, _apply, "filing_id long, loaded_at timestamp, section string, raw binary, form string"))
+    odd = rows.where("odd is not null")
+    asked = common.spread(odd.select(*key, "odd"), "filing_id").select(*key, F.explode("odd").alias("token")).distinct()
+    pairs = common.join_salted(asked, spellings(vocabulary), "token", "filing_id")
+    pairs = pairs.groupBy(*key).agg(F.collect_list(F.struct("token", "spelling")).alias("pairs"))
+    done = odd.select("loaded_at", "body", *key).join(pairs, key, "left")
+    return rows.where("odd is null").select(*names).unionByName(common.batches(done, _apply(keep), FORMS))
 
 
 def classes(filings: DataFrame) -> DataFrame:
     """(filing_id, section, raw, form_id): texts of a section with the same form_id read the same."""
-    rows = forms_of(common.sections(filings)).select("filing_id", "loaded_at", "section", "raw", F.unhex(F.md5("form")).alias("form_id"))
+    rows = forms_of(common.sections(filings)).select("filing_id", "loaded_at", "section", "raw", "form_id")
     return common.latest(rows, ["filing_id", "section"], ["raw", "form_id"])
 
 
@@ -225,10 +267,11 @@ def found_pairs(filings: DataFrame) -> DataFrame:
     rows = common.written(classes(filings), "p1-classes")
     several = rows.groupBy("section", "form_id").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).where("a <> b")
     rows = rows.join(several.select("section", "form_id"), ["section", "form_id"], "left_semi")
-    a, b = rows.alias("a"), rows.alias("b")
-    same = [F.col("a.section") == F.col("b.section"), F.col("a.form_id") == F.col("b.form_id")]
-    pairs = a.join(b, [*same, F.col("a.filing_id") < F.col("b.filing_id"), F.col("a.raw") != F.col("b.raw")])
-    return pairs.select(F.col("a.filing_id").alias("filing_id_a"), F.col("b.filing_id").alias("filing_id_b"), F.col("a.section").alias("section"))
+    rows = common.written(rows.select("filing_id", "section", "raw", F.struct("section", "form_id").alias("class")), "p1-several")
+    a = rows.select(F.col("filing_id").alias("filing_id_a"), "section", F.col("raw").alias("raw_a"), "class")
+    b = rows.select(F.col("filing_id").alias("filing_id_b"), F.col("raw").alias("raw_b"), "class")
+    pairs = common.join_salted(a, b, "class", "filing_id_a").where("filing_id_a < filing_id_b and raw_a <> raw_b")
+    return pairs.select("filing_id_a", "filing_id_b", "section")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,14 +281,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The form of each section, and how many filings and spellings its class has."""
     filings = common.table(spark, sf_dir, "filings_df")
-    rows = common.latest(forms_of(common.sections(filings)), ["filing_id", "section"], ["raw", "form"])
+    rows = common.latest(forms_of(common.sections(filings), keep=True), ["filing_id", "section"], ["raw", "form"])
     rows = rows.withColumn("form_id", F.md5("form"))
     size = rows.groupBy("section", "form_id").agg(F.count("*").alias("filings"), F.count_distinct("raw").alias("spellings"))
     return rows.drop("raw").join(size, ["section", "form_id"]).select("filing_id", "section", "form_id", "filings", "spellings", "form")
 
 
 def p1_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spellings(common.sections(common.table(spark, sf_dir, "filings_df")))
+    """The spelling of each distinct token that isn't in plain form."""
+    return spellings(scanned(common.sections(common.table(spark, sf_dir, "filings_df")))[1])
 
 
 QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p1_spellings": p1_spellings}

@@ -4,7 +4,7 @@ import unicodedata as ud
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerlark.llm import forms, p1_lookalike as p1
+from ledgerlark.llm import common, forms, p1_lookalike as p1
 
 CLEAN = "The office of Köldale filed 12 reports. Показатель рынок вырос, first effort."
 WIDE = str.maketrans({chr(c): chr(c + 0xFEE0) for c in range(0x21, 0x7F)})
@@ -62,9 +62,24 @@ def test_native_words_in_latin_letters_only(filings):
 
 
 def test_forms_are_readable(spark, filings):
-    rows = p1.forms_of(__import__("ledgerlark.llm.common", fromlist=["x"]).sections(filings([(1, "рост вырос"), (2, "poст выpoс")]))).collect()
+    rows = p1.forms_of(common.sections(filings([(1, "рост вырос"), (2, "poст выpoс")])), keep=True).collect()
     assert {r["form"] for r in rows} == {"рост вырос"}
 
 
 def test_nothing(filings):
     assert p1.found_pairs(filings([])).collect() == []
+
+
+def test_a_hot_token_and_a_hot_class(filings):
+    """A third of the rows share a token to look up, and one class has many members and spellings."""
+    rows = [(i, "ｐａｇｅ " + ("x" if i % 2 else "ｘ")) for i in range(40)] + [(100 + i, f"page {i}") for i in range(80)]
+    got = {(r[0], r[1]) for r in p1.found_pairs(filings(rows)).collect()}
+    assert got == {(i, j) for i in range(40) for j in range(i + 1, 40) if i % 2 != j % 2}
+
+
+@given(st.text(max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_tokens_by_pieces_are_those_of_the_whole_text(t):
+    plain, other = p1.tokens(t)
+    whole = set(p1.token_pattern().findall(t))
+    assert other == {x for x in whole if not x.isascii()} and plain == {x for x in whole if x.isascii()}
