@@ -1,7 +1,12 @@
-"""Lexicon sentiment as expressions over token arrays: one map lookup per token, no join and no shuffle."""
+"""Lexicon sentiment as expressions over token arrays: one look-up per token in a hashed constant, no join and no shuffle.
+
+The lexicon is a constant of the plan, as an array of small maps; a token's checksum names its map, so a look-up takes as
+long for 100,000 words as for 60. Lexicons beyond MAX_LITERAL_WORDS go by ``count_by_join``."""
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -10,8 +15,8 @@ from pyspark.sql import functions as F
 from ledgerlark.config import CATEGORIES
 from ledgerlark.functions import text
 
-#: A lexicon in a plan is a map literal; beyond this many words use ``count_by_join``.
-MAX_LITERAL_WORDS = 20_000
+#: Words up to which a lexicon is a constant of the plan (about 40 bytes a word); checked, with ``count_by_join`` beyond it.
+MAX_LITERAL_WORDS = 200_000
 
 
 def categories_of(lexicon: DataFrame, limit: int = MAX_LITERAL_WORDS) -> dict[str, list[str]]:
@@ -24,9 +29,15 @@ def categories_of(lexicon: DataFrame, limit: int = MAX_LITERAL_WORDS) -> dict[st
     return out
 
 
-def _literal(lexicon: dict[str, list[str]]) -> Column:
-    pairs = [x for w, cs in sorted(lexicon.items()) for x in (F.lit(w), F.array(*[F.lit(c) for c in cs]))]
-    return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,array<string>>")
+def lookup(lexicon: dict[str, list[str]]) -> Callable[[Column], Column]:
+    """The categories of an upper-case word, none for other words."""
+    n = 1 << max(1, len(lexicon)).bit_length()
+    buckets: list[dict] = [{} for _ in range(n)]
+    for w, cs in lexicon.items():
+        buckets[zlib.crc32(w.encode()) & (n - 1)][w] = cs
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,array<string>>>")  # folded once, when the plan is made
+    none = F.array().cast("array<string>")
+    return lambda word: F.coalesce(F.try_element_at(F.element_at(table, (F.crc32(word).bitwiseAND(F.lit(n - 1)) + 1).cast("int")), word), none)
 
 
 def metrics(counts: dict[str, Column], total: Column) -> list[Column]:
@@ -42,27 +53,35 @@ def _is(category: str) -> Callable[[Column], Column]:
     return lambda c: c == category
 
 
+def _counted(hits: Column, total: Column) -> Column:
+    return F.struct(*metrics({k: F.size(F.filter(hits, _is(k))) for k in CATEGORIES}, total))
+
+
 def score(tokens: Column | str, lexicon: dict[str, list[str]]) -> Column:
     """L1, L2: struct of counts and shares of the seven categories and the composites; all 0 for no tokens.
 
     A word in k categories counts k times in total_lm_words."""
     t = F.col(tokens) if isinstance(tokens, str) else tokens
-    hits = F.flatten(F.transform(t, lambda x: F.coalesce(F.try_element_at(_literal(lexicon), F.upper(x)), F.array().cast("array<string>"))))
-    counts = {k: F.size(F.filter(hits, _is(k))) for k in CATEGORIES}
-    return F.struct(*metrics(counts, F.size(t)))
-
-
-def score_columns(df: DataFrame, lexicon: DataFrame, text_col: str, prefix: str, tokenizer: Callable[[Column], Column] = text.tokenize) -> DataFrame:
-    """L3: adds the 18 metrics of a text column under a prefix; the tokens are computed once for each row."""
-    lex = categories_of(lexicon)
-    counts = [F.size(F.filter(F.col("_hits"), _is(k))) for k in CATEGORIES]
-    df = df.withColumn("_tokens", tokenizer(text.text_of(text_col)))
-    # the map literal holds at most MAX_LITERAL_WORDS words
-    found = F.flatten(F.transform("_tokens", lambda x: F.coalesce(F.try_element_at(_literal(lex), F.upper(x)), F.array().cast("array<string>"))))
-    df = df.withColumn("_hits", found)
-    cols = metrics(dict(zip(CATEGORIES, counts)), F.size("_tokens"))
+    find = lookup(lexicon)
+
+    def scored(x: Column) -> Column:
+        hits = F.flatten(F.transform(x, lambda w: find(F.upper(w))))
+        return text.let(F.struct(hits.alias("h"), F.size(x).alias("n")), lambda y: _counted(y["h"], y["n"]))
+
+    return text.let(t, scored)
+
+
+def score_columns(df: DataFrame, lexicon: DataFrame, text_col: str, prefix: str, tokenizer: Callable[[Column], Column] = text.tokenize, keys: tuple[str, ...] = ()) -> DataFrame:
+    """L3: adds the 18 metrics of a text column under a prefix; tokens and look-ups are made once for each row.
+
+    keys name a row, for a lexicon of more than MAX_LITERAL_WORDS words: its tokens are joined then."""
+    tokens = tokenizer(text.text_of(text_col))
     names = metric_names()
-    return df.withColumns({prefix + n: c for n, c in zip(names, cols)}).drop("_tokens", "_hits")
+    if keys and lexicon.select("word").distinct().limit(MAX_LITERAL_WORDS + 1).count() > MAX_LITERAL_WORDS:
+        got = count_by_join(df.select(F.struct(*keys).alias("_key"), tokens.alias("_t")), "_key", "_t", lexicon)
+        return df.withColumn("_key", F.struct(*keys)).join(got.withColumnsRenamed({n: prefix + n for n in names}), "_key", "left").drop("_key")
+    df = df.withColumn("_m", score(tokens, categories_of(lexicon)))
+    return df.withColumns({prefix + n: F.col(f"_m.{n}") for n in names}).drop("_m")
 
 
 def metric_names() -> list[str]:
@@ -70,10 +89,11 @@ def metric_names() -> list[str]:
 
 
 def count_by_join(df: DataFrame, key: str, tokens: str, lexicon: DataFrame) -> DataFrame:
-    """J11 for a lexicon of any size: (key, 18 metrics); tokens are counted for each row before they are joined."""
+    """J11 for a lexicon of any size: (key, 18 metrics). The tokens of a row lie in one task, so what is shuffled after a
+    broadcast (Spark sees the lexicon's size and picks it or not) is one row of counts for each key."""
     lex = lexicon.where("word is not null and category is not null").select(F.upper("word").alias("word"), F.lower("category").alias("category")).distinct()
-    own = df.select(key, F.explode(tokens).alias("t")).groupBy(key, F.upper("t").alias("word")).agg(F.count("*").alias("n"))
-    hit = own.join(lex, "word").groupBy(key).agg(*[F.sum(F.when(F.col("category") == k, F.col("n")).otherwise(0)).alias(k) for k in CATEGORIES])
+    own = df.select(key, F.explode(tokens).alias("t")).select(key, F.upper("t").alias("word"))
+    hit = own.join(lex, "word").groupBy(key).agg(*[F.sum(F.when(F.col("category") == k, 1).otherwise(0)).alias(k) for k in CATEGORIES])
     size = df.groupBy(key).agg(F.sum(F.size(tokens)).alias("_total"))
     rows = size.join(hit, key, "left")
     return rows.select(key, *metrics({k: F.coalesce(k, F.lit(0)) for k in CATEGORIES}, F.col("_total")))

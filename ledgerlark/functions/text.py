@@ -4,7 +4,9 @@ All take a Column and stay in the JVM. NULL counts as '' throughout. White space
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,6 +22,11 @@ def text_of(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value worked out once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}|{SPACE}$", "")
 
@@ -43,38 +50,47 @@ def syllables(word: Column) -> Column:
     return F.greatest(F.lit(1), F.regexp_count(F.lower(word), F.lit("[aeiou]+")))
 
 
-def readability(c: Column | str) -> Column:
-    """Gunning Fog from white-space words; 0 under ten words or without a sentence."""
-    w, s = words(c), sentence_pieces(c)
+def _fog(w: Column, s: Column) -> Column:
     n = F.size(w)
     hard = F.size(F.filter(w, lambda x: syllables(x) >= 3))
     fog = F.round(0.4 * (n / F.greatest(F.lit(1), F.size(s)) + 100.0 * hard / F.greatest(F.lit(1), n)), 4)
     return F.when((n < 10) | (F.size(s) == 0), F.lit(0.0)).otherwise(fog)
 
 
+def readability(c: Column | str) -> Column:
+    """Gunning Fog from white-space words; 0 under ten words or without a sentence."""
+    return let(F.struct(words(c).alias("w"), sentence_pieces(c).alias("s")), lambda x: _fog(x["w"], x["s"]))
+
+
 def text_stats(c: Column | str) -> Column:
     """Struct of word_count, sentence_count, avg_sentence_length, fog_index, vocabulary_richness, char_count."""
-    t, w, s = text_of(c), words(c), sentence_pieces(c)
-    empty = t == ""
-    n_sent = F.when(empty, 0).otherwise(F.greatest(F.lit(1), F.size(s))).cast("long")
-    alpha = F.filter(w, lambda x: x.rlike("^\\p{L}+$"))
-    lower = F.transform(alpha, lambda x: F.lower(x))
-    richness = F.round(F.size(F.array_distinct(lower)) / F.greatest(F.lit(1), F.size(lower)), 4)
-    return F.struct(
-        F.size(w).cast("long").alias("word_count"),
-        n_sent.alias("sentence_count"),
-        F.when(empty, F.lit(0.0)).otherwise(F.round(F.size(w) / F.greatest(F.lit(1), F.size(s)), 2)).alias("avg_sentence_length"),
-        readability(c).alias("fog_index"),
-        richness.alias("vocabulary_richness"),
-        F.length(t).cast("long").alias("char_count"),
-    )
+
+    def figures(x: Column) -> Column:
+        t, w, s = x["t"], x["w"], x["s"]
+        n_sent = F.when(t == "", 0).otherwise(F.greatest(F.lit(1), F.size(s))).cast("long")
+        alpha = F.transform(F.filter(w, lambda y: y.rlike("^\\p{L}+$")), lambda y: F.lower(y))
+        richness = let(alpha, lambda a: F.round(F.size(F.array_distinct(a)) / F.greatest(F.lit(1), F.size(a)), 4))
+        return F.struct(
+            F.size(w).cast("long").alias("word_count"),
+            n_sent.alias("sentence_count"),
+            F.when(t == "", F.lit(0.0)).otherwise(F.round(F.size(w) / F.greatest(F.lit(1), F.size(s)), 2)).alias("avg_sentence_length"),
+            _fog(w, s).alias("fog_index"),
+            richness.alias("vocabulary_richness"),
+            F.length(t).cast("long").alias("char_count"),
+        )
+
+    return let(F.struct(text_of(c).alias("t"), words(c).alias("w"), sentence_pieces(c).alias("s")), figures)
 
 
 def tokenize(c: Column | str, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     """Runs of letters in lower case, without stop words and single letters."""
     found = F.regexp_extract_all(F.lower(text_of(c)), F.lit("[\\p{L}\\p{M}]+"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in stop_words])
-    return F.filter(found, lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t))
+    keep = lambda t: F.length(t) >= 2
+    if not stop_words:
+        return F.filter(found, keep)
+    # one automaton over the token's first letters instead of a search in a list
+    stop = "^(?:" + "|".join(sorted(re.escape(w) for w in stop_words)) + ")$"
+    return F.filter(found, lambda t: keep(t) & ~t.rlike(stop))
 
 
 #: Latin-1 and Latin Extended-A letters and the ASCII letter they decompose to, by rule.

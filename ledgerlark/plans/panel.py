@@ -30,10 +30,10 @@ def text_columns(df: DataFrame) -> DataFrame:
     return df
 
 
-def lexicon_columns(df: DataFrame, lex: DataFrame) -> DataFrame:
+def lexicon_columns(df: DataFrame, lex: DataFrame, keys: tuple[str, ...] = ("filing_id",)) -> DataFrame:
     """L4: lm_<section>_<metric>."""
     for s, c in SECTIONS.items():
-        df = lexicon.score_columns(df, lex, c, f"lm_{s}_")
+        df = lexicon.score_columns(df, lex, c, f"lm_{s}_", keys=keys)
     return df
 
 
@@ -49,7 +49,7 @@ def build_feature_panel(
     windows: tuple[int, ...] = DEFAULT.return_windows, vol: int = DEFAULT.vol_window,
 ) -> DataFrame:
     """B2: one row for each filing with text. The texts are dropped before anything is shuffled, but for the model."""
-    rows = lexicon_columns(text_columns(with_text(filings)), lex)
+    rows = lexicon_columns(text_columns(with_text(filings)), lex, keys)
     if scorer is not None:
         rows = model.model_columns(rows, list(keys), {"fb_1a_": "item_1a_text", "fb_mda_": "mda_text"}, scorer)
     rows = rows.drop(*SECTIONS.values())

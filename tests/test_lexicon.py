@@ -53,3 +53,18 @@ def test_empty_lexicon(spark):
     empty = spark.createDataFrame([], "word string, category string")
     df = spark.createDataFrame([("loss",)], "t string")
     assert lexicon.score_columns(df, empty, "t", "").first()["total_lm_words"] == 0
+
+
+def test_words_beyond_the_constant_are_joined(spark, lex, monkeypatch):
+    df = spark.createDataFrame([(1, "LOSS loss gain x"), (2, None), (3, "")], "i int, t string")
+    cut = lambda c: F.split(c, " ")
+    want = [r.asDict() for r in lexicon.score_columns(df, lex, "t", "", cut, ("i",)).orderBy("i").collect()]
+    monkeypatch.setattr(lexicon, "MAX_LITERAL_WORDS", 3)
+    assert [r.asDict() for r in lexicon.score_columns(df, lex, "t", "", cut, ("i",)).orderBy("i").collect()] == want
+
+
+def test_every_word_of_a_large_lexicon_is_found(spark):
+    words = [f"W{i:05d}" for i in range(5000)]
+    table = {w: ["negative"] for w in words}
+    df = spark.createDataFrame([([*words, "OTHER"],)], "t array<string>")
+    assert df.select(lexicon.score("t", table).alias("s")).first()["s"]["negative_count"] == 5000
