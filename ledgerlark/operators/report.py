@@ -82,9 +82,10 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
 
 
-def dashboard_filter(df: DataFrame, ticker: str, types: list[str] | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
-    """P10: all conditions reach the scan."""
-    df = df.where(F.col("ticker") == ticker)
+def dashboard_filter(df: DataFrame, ticker: str | None = None, types: list[str] | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """P10: all conditions reach the scan; without a ticker all of them are shown."""
+    if ticker is not None:
+        df = df.where(F.col("ticker") == ticker)
     if types:
         df = df.where(F.col("filing_type").isin(*types))
     if first is not None:
@@ -138,10 +139,11 @@ def scatter(df: DataFrame, x: str, y: str, hue: str) -> DataFrame:
 def word_count_distribution(df: DataFrame, column: str, bins: int = 40) -> tuple[DataFrame, DataFrame]:
     """Histogram of the positive counts, and their median and mean."""
     rows = df.where(F.col(column) > 0)
-    return stats.histogram(rows, column, bins), rows.agg(F.percentile(column, F.lit(0.5)).alias("median"), F.avg(column).alias("mean"))
+    return stats.histogram(rows, column, bins), rows.agg(F.avg(column).alias("mean")).withColumn("median", F.lit(next(iter(stats.exact_quantiles(rows, column, [0.5])), None)).cast("double"))
 
 
-def sentiment_beside_price(panel: DataFrame, prices: DataFrame, ticker: str, column: str) -> tuple[DataFrame, DataFrame]:
-    """One ticker's sentiment by filing date and its price series, two results."""
-    own = panel.where((F.col("ticker") == ticker) & F.col(column).isNotNull()).select("filing_date", column)
-    return own.orderBy("filing_date"), prices.where(F.col("ticker") == ticker).select("dt", "close").orderBy("dt")
+def sentiment_beside_price(panel: DataFrame, prices: DataFrame, column: str, ticker: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A ticker's sentiment by filing date and its price series, two results; of all tickers without one named."""
+    one = F.lit(True) if ticker is None else F.col("ticker") == ticker
+    own = panel.where(one & F.col("ticker").isNotNull() & F.col(column).isNotNull()).select("ticker", "filing_date", column)
+    return own.orderBy("ticker", "filing_date"), prices.where(one).select("ticker", "dt", "close").orderBy("ticker", "dt")

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,10 +35,40 @@ def complete(df: DataFrame, numeric: list[str], other: list[str] = ()) -> DataFr
     return df.select(*[missing_to_null(c).alias(c) for c in numeric], *other).dropna(subset=list(numeric))
 
 
+#: Rows up to which a quantile is taken from the values in one task; beyond, they are narrowed down first.
+SMALL = 1_000_000
+#: Accuracy of the approximate quantiles that narrow values down: ranks are within rows / ACCURACY.
+ACCURACY = 10_000
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float]:
+    """Quantiles with linear interpolation, exact for any number of rows; [] without values.
+
+    Up to SMALL rows the values are sorted in one task. Beyond, one pass of approximate quantiles gives two bounds around
+    each wanted rank and one counts the rows below; what lies between (rows / ACCURACY or so) is narrowed down further
+    until it is small or one value."""
+    rows = df.select(missing_to_null(column).alias("v")).where("v is not null")
+    n = rows.count()
+    return [_at(rows, p * (n - 1), n) for p in shares] if n > SMALL else list(rows.agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q")).first()["q"] or [])
+
+
+def _at(rows: DataFrame, position: float, n: int) -> float:
+    """The value at a position between 0 and n - 1 of the n rows in order."""
+    while n > SMALL:
+        share, margin = position / (n - 1), 2 / ACCURACY
+        low, high = rows.agg(F.percentile_approx("v", F.array(F.lit(max(0.0, share - margin)), F.lit(min(1.0, share + margin))), ACCURACY).alias("b")).first()["b"]
+        below, among = rows.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
+        if low == high:
+            return low
+        if not below <= position <= below + among - 1 or among >= n:
+            raise ArithmeticError("the bounds miss the rank")
+        rows, position, n = rows.where(F.col("v").between(low, high)), position - below, among
+    return rows.agg(F.percentile("v", F.lit(position / max(1, n - 1))).alias("q")).first()["q"]
+
+
 def edges(df: DataFrame, column: str, q: int) -> list[float]:
     """Least value, inner quantiles (linear interpolation), greatest value."""
-    row = df.agg(F.percentile(column, F.array(*[F.lit(k / q) for k in range(q + 1)])).alias("e")).first()
-    return list(row["e"] or [])
+    return exact_quantiles(df, column, [k / q for k in range(q + 1)])
 
 
 def quantile_bin(df: DataFrame, column: str, q: int, name: str = "quantile", on_ties: str = "error") -> DataFrame:
@@ -52,15 +83,6 @@ def quantile_bin(df: DataFrame, column: str, q: int, name: str = "quantile", on_
     return df.withColumn(name, F.when(F.col(column).isNotNull(), c))
 
 
-def quantile_bin_lazy(df: DataFrame, column: str, q: int, name: str = "quantile") -> DataFrame:
-    """W9 in one plan: the edges are a one-row table; equal edges share the lowest bin."""
-    e = df.agg(F.percentile(column, F.array(*[F.lit(k / q) for k in range(1, q)])).alias("_e"))
-    c = F.lit(q)
-    for k in range(q - 1, 0, -1):
-        c = F.when(F.col(column) <= F.col("_e")[k - 1], F.lit(k)).otherwise(c)
-    return df.crossJoin(F.broadcast(e)).withColumn(name, F.when(F.col(column).isNotNull(), c)).drop("_e")
-
-
 def z_score(df: DataFrame, columns: list[str]) -> DataFrame:
     """Over the whole table, with ddof 1 and 1e-12 in the denominator."""
     stats = df.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))])
@@ -120,15 +142,15 @@ def welch(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
     return row.select(t.alias("t_stat"), dof.alias("df"))
 
 
-def quantile_means(df: DataFrame, signal: str, outcome: str, q: int = DEFAULT.quantiles) -> DataFrame:
+def quantile_means(df: DataFrame, signal: str, outcome: str, q: int = DEFAULT.quantiles, on_ties: str = "error") -> DataFrame:
     """A4: (quantile, mean_return, n)."""
-    rows = quantile_bin_lazy(complete(df, [signal, outcome]), signal, q)
+    rows = quantile_bin(complete(df, [signal, outcome]), signal, q, on_ties=on_ties)
     return rows.groupBy("quantile").agg(F.avg(outcome).alias("mean_return"), F.count(outcome).alias("n"))
 
 
-def spread_series(df: DataFrame, signal: str, outcome: str, q: int = DEFAULT.quantiles, period: str = "filing_quarter") -> DataFrame:
+def spread_series(df: DataFrame, signal: str, outcome: str, q: int = DEFAULT.quantiles, period: str = "filing_quarter", on_ties: str = "error") -> DataFrame:
     """(period, spread) of the top less the bottom group, for periods that have both."""
-    rows = quantile_bin_lazy(complete(df, [signal, outcome], [period]).where(F.col(period).isNotNull()), signal, q)
+    rows = quantile_bin(complete(df, [signal, outcome], [period]).where(F.col(period).isNotNull()), signal, q, on_ties=on_ties)
     rows = rows.groupBy(period).agg(F.avg(F.when(F.col("quantile") == q, F.col(outcome))).alias("_t"), F.avg(F.when(F.col("quantile") == 1, F.col(outcome))).alias("_b"))
     return rows.select(period, (F.col("_t") - F.col("_b")).alias("spread")).where("spread is not null")
 
@@ -157,7 +179,7 @@ def event_study(df: DataFrame, signal: str, outcome: str, q: int = DEFAULT.quant
     if len(means) >= 2:
         spread = means[-1] - means[0]
         if "filing_quarter" in df.columns:
-            r = newey_west(spread_series(df, signal, outcome, q), "spread", ["filing_quarter"], lags).first()
+            r = newey_west(spread_series(df, signal, outcome, q, on_ties=on_ties), "spread", ["filing_quarter"], lags).first()
             if r["t_stat"] is not None:
                 t, p = r["t_stat"], tdist.two_sided_p(r["t_stat"], r["n"] - 1)
         else:
@@ -174,35 +196,49 @@ def ols(df: DataFrame, y: str, x: list[str], controls: list[str] | None = None,
     in the order of `order` (the panel's row order; a row number over it is the only global sort). Rows are numbered by
     their sorted partition, so no single task sees all of them; X'X, X'y and the lagged products are added up in
     partial matrices on the executors."""
-    spark = df.sparkSession
     xs = x + (controls or [])
     order = order or [c for c in ("ticker", "filing_type", "filing_date") if c in df.columns]
     require(df, [y, *xs])
     quarter = ["filing_quarter"] if quarter_fe and "filing_quarter" in df.columns else []
     extra = [c for c in dict.fromkeys([*order, *quarter]) if c not in (y, *xs)]
-    rows = complete(df, [y, *xs], extra)
-    n = rows.count()
+    rows = complete(df, [y, *xs], extra).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fitted(rows, y, xs, quarter, lags, order, extra)
+    finally:
+        rows.unpersist()
+
+
+def quarter_dummies(df: DataFrame, column: str = "filing_quarter") -> dict[str, Column]:
+    """A 0/1 column by name for each category in order but the first; a missing category has all 0.
+
+    There are as many categories as the calendar has quarters."""
+    found = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
+    return {f"q_{q}": F.when(F.col(column) == q, 1.0).otherwise(0.0) for q in found[1:]}
+
+
+def _fitted(rows: DataFrame, y: str, xs: list[str], quarter: list[str], lags: int, order: list[str], extra: list[str]) -> tuple[DataFrame, DataFrame]:
+    spark = rows.sparkSession
+    dummies = quarter_dummies(rows, quarter[0]) if quarter else {}
+    moments = rows.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}{i}") for i, c in enumerate(xs) for k, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    n = moments["n"]
     if n < len(xs) + 10:
         raise ValueError(f"too few observations ({n}) for {len(xs)} regressors")
-    quarters = sorted(r[0] for r in rows.select(*quarter).where(F.col(quarter[0]).isNotNull()).distinct().collect())[1:] if quarter else []
-    terms = ["const", *xs, *[f"q_{q}" for q in quarters]]
-    z = z_score(rows, xs)
-    cells = [F.lit(1.0), *[F.col(c) for c in xs], *[F.when(F.col(quarter[0]) == q, 1.0).otherwise(0.0) for q in quarters]]
-    design = z.select(*extra, F.array(*[c.cast("double") for c in cells]).alias("_x"), F.col(y).alias("_y"))
+    terms = ["const", *xs, *dummies]
     k = len(terms)
+    z = [(F.col(c) - F.lit(moments[f"m{i}"])) / F.lit((moments[f"s{i}"] or 0.0) + 1e-12) for i, c in enumerate(xs)]
+    cells = [F.lit(1.0), *z, *dummies.values()]
+    design = rows.select(*extra, F.array(*[c.cast("double") for c in cells]).alias("_x"), F.col(y).alias("_y"))
 
     def gram(it):
         a, b, yy, s = np.zeros((k, k)), np.zeros(k), 0.0, 0.0
         for pdf in it:
             X, Y = np.array(pdf["_x"].tolist()).reshape(-1, k), pdf["_y"].to_numpy()
             a, b, yy, s = a + X.T @ X, b + X.T @ Y, yy + Y @ Y, s + Y.sum()
-        yield pd.DataFrame({"a": [a.ravel().tolist()], "b": [b.tolist()], "yy": [yy], "s": [s]})
+        yield pd.DataFrame({"m": [[*a.ravel().tolist(), *b.tolist(), float(yy), float(s)]]})
 
-    # one small matrix from each task, added up by position
-    parts = design.select("_x", "_y").mapInPandas(gram, "a array<double>, b array<double>, yy double, s double")
-    A = _sum_arrays(parts, "a", k * k).reshape(k, k)
-    b = _sum_arrays(parts, "b", k)
-    tot = parts.agg(F.sum("yy").alias("yy"), F.sum("s").alias("s")).first()
+    # one small array from each task, added up by position in one pass
+    total = _sum_arrays(design.select("_x", "_y").mapInPandas(gram, "m array<double>"), "m", k * k + k + 2)
+    A, b, tot = total[: k * k].reshape(k, k), total[k * k : k * k + k], {"yy": float(total[-2]), "s": float(total[-1])}
     inv = np.linalg.pinv(A)
     beta = inv @ b
     # HAC: products of a row's x u with those of the rows up to `lags` before it in the order
@@ -314,12 +350,20 @@ def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, n, mean, median, std, min, max, p25, p75), exact quantiles, in one pass."""
+    """(feature, n, mean, median, std, min, max, p25, p75), exact quantiles, in one pass up to SMALL rows.
+
+    Beyond, the quantiles are narrowed down column by column (``exact_quantiles``)."""
     rows = df.select(*[missing_to_null(c).alias(c) for c in columns])
-    per = lambda c: [F.count(c), F.avg(c), F.percentile(c, F.lit(0.5)), F.stddev_samp(c), F.min(c), F.max(c), F.percentile(c, F.lit(0.25)), F.percentile(c, F.lit(0.75))]
-    names = ["n", "mean", "median", "std", "min", "max", "p25", "p75"]
-    one = rows.agg(*[f.alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in zip(names, per(c))])
-    cells = [F.struct(F.lit(c).alias("feature"), *[F.col(f"{n}_{i}").alias(n) for n in names]) for i, c in enumerate(columns)]
+    shares, names = (0.25, 0.5, 0.75), ["n", "mean", "std", "min", "max"]
+    large = rows.count() > SMALL
+    per = lambda c: [F.count(c), F.avg(c), F.stddev_samp(c), F.min(c), F.max(c)]
+    aggs = [f.alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in zip(names, per(c))]
+    if large:
+        one = rows.agg(*aggs).withColumns({f"q_{i}": F.array(*[F.lit(v) for v in exact_quantiles(rows, c, list(shares))]) for i, c in enumerate(columns)})
+    else:  # one buffer a column
+        one = rows.agg(*aggs, *[F.percentile(c, F.array(*map(F.lit, shares))).alias(f"q_{i}") for i, c in enumerate(columns)])
+    q = lambda i, k, n: F.try_element_at(F.col(f"q_{i}"), F.lit(k)).alias(n)
+    cells = [F.struct(F.lit(c).alias("feature"), *[F.col(f"{n}_{i}").alias(n) for n in ("n", "mean")], q(i, 2, "median"), *[F.col(f"{n}_{i}").alias(n) for n in ("std", "min", "max")], q(i, 1, "p25"), q(i, 3, "p75")) for i, c in enumerate(columns)]
     return one.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 
 

@@ -100,18 +100,18 @@ def q_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P10 and O4 for every ticker: the filter is a parameter; here the years and the type are set."""
-    rows = _panel(spark, sf_dir).where("filing_type in ('10-K', '10-Q') and filing_year between 2018 and 2023")
+    """P10 and O4 for every ticker: the types and the years are set."""
+    rows = report.dashboard_filter(_panel(spark, sf_dir), None, ["10-K", "10-Q"], 2018, 2023)
     return _r(report.history(rows, ["filing_id", SIGNAL, OUTCOME]), ["ticker", "filing_type", "filing_date", "filing_id"])
 
 
 def q_quantile_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stats.quantile_means(_panel(spark, sf_dir), SIGNAL, OUTCOME).withColumn("quantile", F.col("quantile").cast("long"))
+    rows = stats.quantile_means(_panel(spark, sf_dir), SIGNAL, OUTCOME, on_ties="merge").withColumn("quantile", F.col("quantile").cast("long"))
     return _r(rows, ["quantile", "n"])
 
 
 def q_spread_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(stats.spread_series(_panel(spark, sf_dir), SIGNAL, OUTCOME), ["filing_quarter"])
+    return _r(stats.spread_series(_panel(spark, sf_dir), SIGNAL, OUTCOME, on_ties="merge"), ["filing_quarter"])
 
 
 def q_event_study(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,9 +174,10 @@ def q_z_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_quarter_dummies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows each dummy marks, the first category left out."""
-    rows = _panel(spark, sf_dir).where("filing_quarter is not null").groupBy(F.concat(F.lit("q_"), "filing_quarter").alias("dummy")).agg(F.count("*").alias("n"))
-    first = F.broadcast(rows.agg(F.min("dummy").alias("first")))  # one row
-    return rows.crossJoin(first).where("dummy <> first").select("dummy", "n")
+    rows = _panel(spark, sf_dir)
+    dummies = stats.quarter_dummies(rows)
+    sums = rows.agg(*[F.sum(c).cast("long").alias(n) for n, c in dummies.items()])
+    return sums.unpivot([], list(dummies), "dummy", "n") if dummies else spark.createDataFrame([], "dummy string, n long")
 
 
 def q_vol_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,9 +204,9 @@ def q_word_count_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_ticker_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J13 for all tickers: how many filings with a signal lie beside how many closes."""
-    own = _panel(spark, sf_dir).where(F.col(SIGNAL).isNotNull() & F.col("ticker").isNotNull()).groupBy("ticker").agg(F.count("*").alias("filings"))
-    closes = base.prices(spark, sf_dir).groupBy("ticker").agg(F.count("*").alias("closes"), F.min("dt").alias("first"), F.max("dt").alias("last"))
-    return own.join(closes, "ticker", "left")
+    own, closes = report.sentiment_beside_price(_panel(spark, sf_dir), base.prices(spark, sf_dir), SIGNAL)
+    closes = closes.groupBy("ticker").agg(F.count("*").alias("closes"), F.min("dt").alias("first"), F.max("dt").alias("last"))
+    return own.groupBy("ticker").agg(F.count("*").alias("filings")).join(closes, "ticker", "left")
 
 
 _Q3 = "quantile_cont({s}, 1/3.0) AS e1, quantile_cont({s}, 2/3.0) AS e2"

@@ -124,10 +124,11 @@ def q_path_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2, K5, X11: the listed files as a manifest, with what counts as landed and the name of a cache entry."""
     rows = base.table(spark, sf_dir, "manifest").where(F.lower("filepath").rlike("\\.(html?|txt)$"))
-    landed = rows.groupBy("filepath").agg(F.max("file_size_kb").alias("kb"))
-    landed = landed.select("filepath", F.round(F.col("kb"), 1).alias("kb"), (F.col("kb") * 1024 > edgar.LANDED_BYTES).alias("landed"))
-    return landed.select("filepath", "kb", F.coalesce("landed", F.lit(False)).alias("landed"), files.cache_name("filepath").alias("cache_name"))
+    listed = rows.groupBy(F.col("filepath").alias("path")).agg((F.max("file_size_kb") * 1024).alias("length"))
+    size = listed.select(F.col("path").alias("filepath"), F.coalesce(F.col("length") > edgar.LANDED_BYTES, F.lit(False)).alias("landed"))
+    return files.manifest(listed).join(size, "filepath").select("ticker", "filing_type", "filepath", "file_size_kb", "landed", files.cache_name("filepath").alias("cache_name"))
 
 
 def q_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,23 +173,34 @@ def q_model_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got
 
 
-def q_submissions_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S1 to S3 on indexes put together from the filings table."""
+def _landed_indexes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Landed JSON put together from the filings: a map (ticker, cik) and an index (cik, value) for each company."""
     rows = base.filings(spark, sf_dir, "ticker", "filing_type", "filing_date").where("filing_date is not null and ticker is not null")
+    cik = rows.groupBy("ticker").agg(F.min("filing_id").alias("cik"))
+    entry = F.struct(F.lower("ticker").alias("ticker"), F.col("cik").alias("cik_str"))
+    landed_map = cik.select(F.to_json(F.create_map(F.lit("0"), entry)).alias("value"))
     one = F.struct(F.date_format("filing_date", "yyyy-MM-dd").alias("d"), F.col("filing_type").alias("f"), F.lpad(F.col("filing_id").cast("string"), 10, "0").alias("a"))
-    by = rows.groupBy("ticker").agg(F.sort_array(F.collect_list(one)).alias("r"))
+    # an index comes in pages of at most 1,000 filings, however many a company has
+    by = rows.join(cik, "ticker").groupBy("cik", F.floor(F.col("filing_id") / 1000).alias("page")).agg(F.sort_array(F.collect_list(one)).alias("r"))
     recent = F.struct(F.col("r.f").alias("form"), F.col("r.d").alias("filingDate"), F.col("r.a").alias("accessionNumber"), F.transform("r", lambda x: F.concat(x["a"], F.lit(".htm"))).alias("primaryDocument"))
-    landed = by.select(F.col("ticker").alias("cik"), F.to_json(F.struct(F.struct(recent.alias("recent")).alias("filings"))).alias("value"))
-    got = edgar.select_filings(edgar.filing_rows(landed), "10-K", "2016-01-01", "2023-12-31")
+    return landed_map, by.select("cik", F.to_json(F.struct(F.struct(recent.alias("recent")).alias("filings"))).alias("value"))
+
+
+def q_submissions_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 to S3 on indexes put together from the filings table."""
+    landed_map, landed = _landed_indexes(spark, sf_dir)
+    got = edgar.select_filings(edgar.filing_rows(landed), "10-K", "2016-01-01", "2023-12-31").join(edgar.ticker_map(landed_map), "cik")
     url = edgar.document_url("https://host/data", F.col("cik"), F.col("accession"), F.col("document"))
-    return got.select(F.col("cik").alias("ticker"), "form", "day", url.alias("url"))
+    return got.select("ticker", "form", "day", url.alias("url"))
 
 
 def q_cross_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tickers times forms without a landed file."""
-    tickers = base.table(spark, sf_dir, "sector_map").select("ticker").where("ticker is not null").distinct()
-    there = base.table(spark, sf_dir, "manifest").where("file_size_kb * 1024 > 1000").select("ticker", "filing_type").distinct()
-    return tickers.select("ticker", edgar.each_form(("10-K", "10-Q"))).join(there, ["ticker", "filing_type"], "left_anti")
+    """What is to be fetched of tickers times forms, files that are there left out."""
+    landed_map, landed = _landed_indexes(spark, sf_dir)
+    tickers = base.table(spark, sf_dir, "sector_map").select("ticker").where("ticker is not null")
+    # a landed file has the day of the manifest's name and the number of the filing
+    names = base.table(spark, sf_dir, "manifest").select(F.regexp_replace("filepath", "_(\\d{10})[^/.]*(\\.[^.]*)$", "_$1.htm").alias("path"), (F.col("file_size_kb") * 1024).alias("length"))
+    return edgar.to_fetch(tickers, ("10-K", "10-Q"), edgar.ticker_map(landed_map), edgar.filing_rows(landed), names, "https://host/data", "filings")
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
@@ -296,7 +308,8 @@ SELECT filing_id, md5(CASE WHEN length(ta) >= 200 THEN ta ELSE '' END) AS digest
     "q_path_infer": """SELECT DISTINCT filepath, upper(regexp_extract(filepath, '^(?:.*/)?([^/]+)/10-[KQ](?:/|$)', 1)) AS ticker,
   coalesce(nullif(regexp_extract(filepath, '(?:^|/)(10-[KQ])(?:/|$)', 1), ''), 'unknown') AS filing_type,
   strftime(try_cast(nullif(regexp_extract(filepath, '(?:^|/)(\\d{4}-\\d{2}-\\d{2})[^/]*$', 1), '') AS DATE), '%Y-%m-%d') AS filing_date FROM manifest""",
-    "q_manifest_files": """SELECT filepath, round(max(file_size_kb), 1) AS kb, coalesce(max(file_size_kb) * 1024 > 1000, false) AS landed, regexp_replace(filepath, '[^\\w\\-]', '_', 'g') AS cache_name
+    "q_manifest_files": """SELECT upper(regexp_extract(filepath, '^(?:.*/)?([^/]+)/10-[KQ](?:/|$)', 1)) AS ticker, coalesce(nullif(regexp_extract(filepath, '(?:^|/)(10-[KQ])(?:/|$)', 1), ''), 'unknown') AS filing_type,
+  filepath, round(max(file_size_kb), 1) AS file_size_kb, coalesce(max(file_size_kb) * 1024 > 1000, false) AS landed, regexp_replace(filepath, '[^\\w\\-]', '_', 'g') AS cache_name
 FROM manifest WHERE regexp_matches(lower(filepath), '\\.(html?|txt)$') GROUP BY filepath""",
     "q_sentences": f"WITH {FILINGS}, s AS (SELECT filing_id, {_SENTENCES.format(c='mda_text')} AS s FROM f) SELECT filing_id, len(s)::BIGINT AS sentences, md5(array_to_string(s, '|')) AS digest FROM s",
     "q_display_labels": f"""WITH {FILINGS} SELECT filing_id, coalesce(strftime(filing_date, '%Y-%m-%d'), '?') || ' | ' || coalesce(filing_type, '?') AS label,
@@ -304,9 +317,14 @@ FROM manifest WHERE regexp_matches(lower(filepath), '\\.(html?|txt)$') GROUP BY
   md5(replace(CASE WHEN length(coalesce(item_1a_text, '')) > 300 THEN substring(item_1a_text, 1, 300) || '...' ELSE coalesce(item_1a_text, '') END, chr(10), '<br>')) AS digest FROM f""",
     "q_sentence_agg": _AGG,
     "q_sentence_agg_array": _AGG,
-    "q_submissions_json": f"""WITH {FILINGS} SELECT ticker, filing_type AS form, strftime(filing_date, '%Y-%m-%d') AS day,
-  'https://host/data/' || ticker || '/' || lpad(filing_id::VARCHAR, 10, '0') || '/' || lpad(filing_id::VARCHAR, 10, '0') || '.htm' AS url
-FROM f WHERE filing_type = '10-K' AND ticker IS NOT NULL AND filing_date BETWEEN DATE '2016-01-01' AND DATE '2023-12-31'""",
-    "q_cross_plan": """SELECT t.ticker, k.filing_type FROM (SELECT DISTINCT ticker FROM sector_map WHERE ticker IS NOT NULL) t CROSS JOIN (VALUES ('10-K'), ('10-Q')) k(filing_type)
-WHERE NOT EXISTS (SELECT 1 FROM manifest m WHERE m.ticker = t.ticker AND m.filing_type = k.filing_type AND m.file_size_kb * 1024 > 1000)""",
+    "q_submissions_json": f"""WITH {FILINGS}, c AS (SELECT ticker, min(filing_id) AS cik FROM f WHERE filing_date IS NOT NULL AND ticker IS NOT NULL GROUP BY ticker)
+SELECT ticker, filing_type AS form, strftime(filing_date, '%Y-%m-%d') AS day,
+  'https://host/data/' || cik || '/' || lpad(filing_id::VARCHAR, 10, '0') || '/' || lpad(filing_id::VARCHAR, 10, '0') || '.htm' AS url
+FROM f JOIN c USING (ticker) WHERE filing_type = '10-K' AND filing_date BETWEEN DATE '2016-01-01' AND DATE '2023-12-31'""",
+    "q_cross_plan": f"""WITH {FILINGS}, c AS (SELECT ticker, min(filing_id) AS cik FROM f WHERE filing_date IS NOT NULL AND ticker IS NOT NULL GROUP BY ticker),
+m AS (SELECT DISTINCT regexp_replace(filepath, '_(\\d{{10}})[^/.]*(\\.[^.]*)$', '_\\1.htm') AS path FROM manifest WHERE file_size_kb * 1024 > 1000),
+x AS (SELECT DISTINCT ticker, filing_type, 'https://host/data/' || cik || '/' || lpad(filing_id::VARCHAR, 10, '0') || '/' || lpad(filing_id::VARCHAR, 10, '0') || '.htm' AS url,
+  'filings/' || ticker || '/' || filing_type || '/' || strftime(filing_date, '%Y-%m-%d') || '_' || lpad(filing_id::VARCHAR, 10, '0') || '.htm' AS path
+  FROM f JOIN c USING (ticker) WHERE filing_type IN ('10-K', '10-Q') AND filing_date BETWEEN DATE '2015-01-01' AND DATE '2024-12-31' AND ticker IN (SELECT ticker FROM sector_map))
+SELECT * FROM x WHERE path NOT IN (SELECT path FROM m)""",
 }

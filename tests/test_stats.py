@@ -91,7 +91,7 @@ def test_periods_under_ten_rows_are_skipped(spark):
 def test_quantile_bins(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 7)], "x double")
     assert [r["quantile"] for r in stats.quantile_bin(df, "x", 3).orderBy("x").collect()] == [1, 1, 2, 2, 3, 3]
-    assert [r["quantile"] for r in stats.quantile_bin_lazy(df, "x", 3).orderBy("x").collect()] == [1, 1, 2, 2, 3, 3]
+    assert [r["quantile"] for r in stats.quantile_bin(df, "x", 3).orderBy("x").collect()] == [1, 1, 2, 2, 3, 3]
     tied = spark.createDataFrame([(0.0,)] * 5 + [(1.0,)], "x double")
     with pytest.raises(ValueError):
         stats.quantile_bin(tied, "x", 3)
@@ -141,3 +141,24 @@ def test_stars(spark):
 
     df = spark.createDataFrame([(0.005,), (0.03,), (0.07,), (0.5,)], "p double")
     assert [r[0] for r in df.select(stats.stars(F.col("p"))).collect()] == ["***", "**", "*", ""]
+
+
+def test_exact_quantiles_of_many_rows(spark, monkeypatch):
+    """The narrowing beyond SMALL rows, with ties, a value that half the rows hold, and a heavy tail."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.pareto(1.0, 3000), np.full(4000, 2.5), rng.normal(size=1000)])
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    shares = [0.0, 0.1, 1 / 3, 0.5, 2 / 3, 0.977, 1.0]
+    want = np.quantile(x, shares)
+    assert stats.exact_quantiles(df, "x", shares) == pytest.approx(want)
+    monkeypatch.setattr(stats, "SMALL", 50)
+    monkeypatch.setattr(stats, "ACCURACY", 100)
+    assert stats.exact_quantiles(df, "x", shares) == pytest.approx(want)
+    got = stats.summary(df, ["x"]).first()
+    assert (got["p25"], got["median"], got["p75"]) == pytest.approx(tuple(np.quantile(x, [0.25, 0.5, 0.75])))
+    assert stats.exact_quantiles(df.where("x > 1e300"), "x", [0.5]) == []
+
+
+def test_correlated_features_are_the_fixed_ones():
+    names = report.CORRELATED
+    assert len(names) == 16 and names.index("stat_1a_vocabulary_richness") == names.index("stat_1a_fog_index") + 1 and "trailing_vol_63d" not in names
