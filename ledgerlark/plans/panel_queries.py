@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import report, stats
-from ledgerlark.plans import base, market_queries, panel, text_queries
+from ledgerlark.plans import base, market_queries, oracles, panel, text_queries
 from ledgerlark.plans.base import FILINGS, NUMERIC, PANEL, PRICES
 
 COLUMNS = ("filing_id", "ticker", "filing_type", "filing_date", "event_date", "sector", "filing_year", "filing_quarter", *NUMERIC)
 SIGNAL, OUTCOME = "lm_1a_net_sentiment", "abret_21d"
+CONTROLS = ("stat_1a_fog_index", "trailing_vol_63d")
+UP, DOWN = ("gains", "rose", "improved", "grew"), ("declined", "fell", "weak", "lost", "hurt")
 
 
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,8 +38,8 @@ def q_panel_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B2 with the stand-in scorer."""
     from ledgerlark.operators.model import word_list_scorer
 
-    make = word_list_scorer(frozenset(("gains", "rose", "improved", "grew")), frozenset(("declined", "fell", "weak", "lost", "hurt")))
-    return built_panel(spark, sf_dir, make).select("filing_id", "fb_1a_finbert_net_sentiment", "fb_mda_finbert_net_sentiment", "fb_mda_finbert_n_sentences", "delta_fb_mda_finbert_net_sentiment")
+    rows = built_panel(spark, sf_dir, word_list_scorer(frozenset(UP), frozenset(DOWN)))
+    return _r(rows.select("filing_id", "fb_1a_finbert_net_sentiment", "fb_mda_finbert_net_sentiment", "fb_mda_finbert_n_sentences", "delta_fb_mda_finbert_net_sentiment"), ["filing_id", "fb_mda_finbert_n_sentences"], 8)
 
 
 def q_sector_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +124,7 @@ def q_event_study(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_event_study_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _panel(spark, sf_dir)
-    return report.event_study_table(stats.event_study(df, SIGNAL, OUTCOME, on_ties="merge"), df)
+    return _r(report.event_study_table(stats.event_study(df, SIGNAL, OUTCOME, on_ties="merge"), df), ["label", "n", "stars"])
 
 
 def q_newey_west(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,12 +146,12 @@ def q_ols_single(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_ols_hac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coefs, _ = stats.ols(_panel(spark, sf_dir), OUTCOME, [SIGNAL], ["stat_1a_fog_index", "trailing_vol_63d"], order=["ticker", "filing_type", "filing_date", "panel_id"])
+    coefs, _ = stats.ols(_panel(spark, sf_dir), OUTCOME, [SIGNAL], [*CONTROLS], order=["ticker", "filing_type", "filing_date", "panel_id"])
     return _r(coefs, ["term"])
 
 
 def q_topk_coef(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coefs, _ = stats.ols(_panel(spark, sf_dir), OUTCOME, [SIGNAL], ["stat_1a_fog_index", "trailing_vol_63d"], order=["ticker", "filing_type", "filing_date", "panel_id"])
+    coefs, _ = stats.ols(_panel(spark, sf_dir), OUTCOME, [SIGNAL], [*CONTROLS], order=["ticker", "filing_type", "filing_date", "panel_id"])
     return _r(report.top_coefficients(coefs), ["term", "stars"])
 
 
@@ -163,7 +165,7 @@ def q_fama_macbeth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_fama_macbeth_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.fama_macbeth(_panel(spark, sf_dir), OUTCOME, [SIGNAL, "stat_1a_fog_index", "trailing_vol_63d"])
+    return stats.fama_macbeth(_panel(spark, sf_dir), OUTCOME, [SIGNAL, *CONTROLS])
 
 
 def q_z_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +230,8 @@ _SUMMARY = " UNION ALL ".join(
     f"SELECT '{c}' AS feature, round(avg({c}), 4) AS mean, round(quantile_cont({c}, 0.5), 4) AS median, round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min, round(max({c}), 4) AS max, "
     f"round(quantile_cont({c}, 0.25), 4) AS p25, round(quantile_cont({c}, 0.75), 4) AS p75 FROM v" for c in NUMERIC
 )
-_THERE = [c for c in report.CORRELATED if c in NUMERIC]
+# of the fixed features those that the table has, spelled out apart from the operator's list
+_THERE = ["lm_1a_net_sentiment", "stat_1a_fog_index", "abret_1d", "abret_5d", "abret_21d", "abret_63d", "forward_vol_63d"]
 _CORR = " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}) + 0.0, 6) AS corr FROM v" for i, a in enumerate(_THERE) for b in _THERE[i:])
 _SLOPES = f"""{_C}, sl AS (SELECT filing_quarter AS period, count(*) AS n, regr_slope(r, s) * CASE WHEN stddev_pop(s) < 1e-12 THEN 1.0 ELSE stddev_pop(s) END AS slope
 FROM c WHERE filing_quarter IS NOT NULL GROUP BY 1 HAVING count(*) >= 10)"""
@@ -312,4 +315,9 @@ SELECT i AS bin, round(a + i * ((b - a) / 40), 6) AS low, round(a + (i + 1) * ((
 FROM range(40) r(i) CROSS JOIN m LEFT JOIN c ON c.bin = i""",
     "q_ticker_overview": f"""WITH {PANEL}, {PRICES}, o AS (SELECT ticker, count(*) AS filings FROM v WHERE {SIGNAL} IS NOT NULL AND ticker IS NOT NULL GROUP BY 1),
 k AS (SELECT ticker, count(*) AS closes, min(dt) AS first, max(dt) AS last FROM p GROUP BY 1) SELECT * FROM o LEFT JOIN k USING (ticker)""",
+    "q_ols_hac": oracles.ols_all(OUTCOME, (SIGNAL, *CONTROLS)),
+    "q_topk_coef": oracles.ols_top(OUTCOME, (SIGNAL, *CONTROLS)),
+    "q_fama_macbeth_many": oracles.fama_macbeth(OUTCOME, (SIGNAL, *CONTROLS)),
+    "q_event_study_table": oracles.event_table(_C, _SPREAD, _nw("sp", "spread", "filing_quarter")),
+    "q_panel_model": oracles.panel_model(text_queries._SENTENCES.format(c="item_1a_text"), text_queries._SENTENCES.format(c="mda_text"), UP, DOWN),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlark.config import CATEGORIES, STOP_WORDS
 from ledgerlark.functions import lexicon, text
 from ledgerlark.operators import model, sections
-from ledgerlark.plans import base
+from ledgerlark.plans import base, oracles
 from ledgerlark.plans.base import FILINGS
 from ledgerlark.sources import edgar, files
 
@@ -113,8 +113,14 @@ def q_html_text_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_html_text_dom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = sections.html_text(text.text_of("item_1a_text"))
-    return base.filings(spark, sf_dir, "item_1a_text").select("filing_id", t.alias("t")).select("filing_id", F.length("t").cast("long").alias("chars"), F.md5("t").alias("digest"))
+    """N1, N2 by the parser, on documents with nested noise around the escaped text."""
+    safe = F.replace(F.replace(text.text_of("item_1a_text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    doc = F.concat(
+        F.lit("<!DOCTYPE html><html><head><title>T</title><style>p { x }</style></head><body><!-- c --><ix:header>a<ix:nonNumeric>b</ix:nonNumeric><p>c</p></ix:header><div><p>"),
+        safe, F.lit("</p></div><b>A &amp; B</b><script>var a = '<p>';</script><p>&copy; 2020 &#169;</p></body></html>"),
+    )
+    rows = base.filings(spark, sf_dir, "item_1a_text").select("filing_id", sections.html_text(doc).alias("t"))
+    return rows.select("filing_id", F.length("t").cast("long").alias("chars"), F.md5("t").alias("digest"))
 
 
 def q_path_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +176,7 @@ def q_model_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda k: frozenset(w.lower() for w, cs in lex.items() if k in cs)
     make = model.word_list_scorer(pick("positive"), pick("negative"))
     got, _ = model.batch_sentiment(base.filings(spark, sf_dir, "mda_text"), ["filing_id"], "mda_text", make)
-    return got
+    return got.select("filing_id", *[F.round(F.col(c) + F.lit(0.0), 6).alias(c) for c in model.AGGREGATES[:-1]], "n_sentences")
 
 
 def _landed_indexes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -327,4 +333,9 @@ x AS (SELECT DISTINCT ticker, filing_type, 'https://host/data/' || cik || '/' ||
   'filings/' || ticker || '/' || filing_type || '/' || strftime(filing_date, '%Y-%m-%d') || '_' || lpad(filing_id::VARCHAR, 10, '0') || '.htm' AS path
   FROM f JOIN c USING (ticker) WHERE filing_type IN ('10-K', '10-Q') AND filing_date BETWEEN DATE '2015-01-01' AND DATE '2024-12-31' AND ticker IN (SELECT ticker FROM sector_map))
 SELECT * FROM x WHERE path NOT IN (SELECT path FROM m)""",
+    "q_model_score": oracles.model_score(_SENTENCES.format(c="mda_text")),
+    "q_pack_clauses": oracles.pack_clauses(_SENTENCES.format(c="mda_text"), 20),
+    "q_clean_text_exact": oracles.clean_text_exact("item_1a_text"),
+    "q_parse_filings": oracles.parse_filings(_TABLE),
+    "q_html_text_dom": oracles.html_text("item_1a_text", ["T"], ["A & B", "© 2020 ©"]),
 }
