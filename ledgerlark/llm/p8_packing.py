@@ -25,6 +25,8 @@ from pyspark.sql.window import Window
 from ledgerlark.llm import common
 
 CAPACITY = 2048
+#: More than there are items of one length.
+SHIFT = 1 << 48
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -63,6 +65,17 @@ class Stock:
         self.n = np.zeros(capacity + 1, dtype=np.int64)
         for length, c in counts.items():
             self.n[length] += c
+        self.pairs = self._pairs()
+
+    def take(self, lengths: np.ndarray, counts: np.ndarray) -> None:
+        self.n[lengths] -= counts
+        if not self.n[lengths].all():  # a length is used up, so some sums are gone
+            self.pairs = self._pairs()
+
+    def _pairs(self) -> np.ndarray:
+        """Which sums two available lengths have, for all sums at once (one length may be counted twice here)."""
+        there = np.fft.rfft((self.n > 0).astype(float), 2 * len(self.n))
+        return np.fft.irfft(there * there, 2 * len(self.n))[: len(self.n)] > 0.5
 
     def pair(self, n: np.ndarray, gap: int) -> tuple[int, int] | None:
         """The pair with the largest first length that sums to the gap."""
@@ -79,9 +92,10 @@ class Stock:
             n[x] -= 1
         if n[gap] > 0:
             return [gap]
-        if p := self.pair(n, gap):
+        if self.pairs[gap] and (p := self.pair(n, gap)):
             return list(p)
-        for z in np.flatnonzero(n[1 : gap - 1] > 0)[::-1] + 1:
+        z = np.arange(gap - 2, 0, -1)
+        for z in z[(n[z] > 0) & self.pairs[gap - z]]:  # a pair fills what is left of the gap
             n[z] -= 1
             p = self.pair(n, gap - int(z))
             n[z] += 1
@@ -113,7 +127,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[in
             gap -= x
         lengths, need = np.unique(used, return_counts=True)
         times = int((stock.n[lengths] // need).min())
-        stock.n[lengths] -= need * times
+        stock.take(lengths, need * times)
         out.append((used, times))
     return out
 
@@ -146,11 +160,17 @@ def pack(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     starts = sizes.select("tokens", "salt", before.alias("start"))
     ranked = salted.withColumn("i", F.row_number().over(Window.partitionBy("tokens", "salt").orderBy("doc_id", "piece")) - 1)
     ranked = ranked.join(starts, ["tokens", "salt"]).withColumn("i", F.col("i") + F.col("start"))
-    plan_df = spark.createDataFrame(rows, "length long, lo long, hi long, each long, first long")
     # at most capacity lengths in a few times capacity patterns, whatever the number of documents
-    fits = (F.col("tokens") == F.col("length")) & (F.col("i") >= F.col("lo")) & (F.col("i") < F.col("hi"))
-    placed = ranked.join(F.broadcast(plan_df), fits)
-    placed = placed.select("doc_id", "piece", "tokens", (F.col("first") + F.floor((F.col("i") - F.col("lo")) / F.col("each"))).alias("container_id"))
+    table = np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
+    held = spark.sparkContext.broadcast(table)
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The container of item i of its length, by binary search among the length's slots."""
+        t, length, i = held.value, pdf["tokens"].to_numpy(), pdf["i"].to_numpy()
+        at = np.searchsorted(t[:, 0] * SHIFT + t[:, 1], length * SHIFT + i, side="right") - 1
+        return pdf[["doc_id", "piece", "tokens"]].assign(container_id=t[at, 4] + (i - t[at, 1]) // t[at, 3])
+
+    placed = common.batches(ranked.select("doc_id", "piece", "tokens", "i"), place, "doc_id long, piece int, tokens long, container_id long")
     empty = counts.where("tokens = 0").select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("tokens"), F.lit(None).cast("long").alias("container_id"))
     return placed.unionByName(empty)
 
