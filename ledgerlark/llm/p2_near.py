@@ -64,45 +64,65 @@ def signature(sh: np.ndarray, values: int) -> np.ndarray:
     return np.stack([low, high], 1).ravel()
 
 
+def shingles_of_texts(texts: list[list[str]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted different shingles of each text, one after the other, and where each text begins (and the last ends)."""
+    known: dict[str, int] = {}
+    for w in set().union(*texts) if texts else ():
+        known[w] = xxhash.xxh3_64_intdigest(w)
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    ends = np.cumsum(size)
+    w = np.fromiter((known[x] for t in texts for x in t), dtype=np.uint64, count=int(size.sum()))
+    owner = np.repeat(np.arange(len(texts)), size)
+    n = max(0, len(w) - k + 1)
+    h = np.zeros(n, dtype=np.uint64)
+    for i in range(k):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + w[i : i + n]
+    inside = np.arange(n) + k <= ends[owner[:n]] if n else np.zeros(0, dtype=bool)  # not over the end of a text
+    h, owner = h[inside], owner[:n][inside]
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    h, owner = h[new], owner[new]
+    return h, np.searchsorted(owner, np.arange(len(texts) + 1))
+
+
+def signatures(h: np.ndarray, at: np.ndarray, values: int) -> np.ndarray:
+    """The signature of each text that has shingles."""
+    out = np.empty((len(at) - 1, values), np.uint32)
+    for i in range(len(out)):
+        out[i] = signature(h[at[i] : at[i + 1]], values)
+    return out
+
+
 def bands_of(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    x = sig[: bands * rows].reshape(bands, rows).astype(np.uint64)
-    h = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    """A hash of each band of each signature."""
+    x = sig[..., : bands * rows].reshape(*sig.shape[:-1], bands, rows).astype(np.uint64)
+    h = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.zeros(x.shape[:-1], np.uint64)
     for i in range(rows):
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + x[:, i]
-    return ((h ^ (h >> np.uint64(32))).view(np.int64))
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + x[..., i]
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
 SIGNED = "filing_id long, loaded_at timestamp, section string, raw long, id long, twin long, n int, bands array<long>, sketch binary"
 
 
-def shingles_of(text: str, shingle: int) -> tuple[str, np.ndarray]:
-    form = forms.skeleton(text)
-    return form, shingles(forms.words(form), shingle)
-
-
 def signed(secs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Each section's form digest (id, twin: two halves, with the section), number of shingles, band hashes and sketch.
 
     The shingles themselves aren't kept: they are made again for the few texts that need an exact comparison."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, twins, n, hashes, sketches = [], [], [], [], []
-        for t, section in zip(batch.column("text").to_pylist(), batch.column("section").to_pylist()):
-            form, sh = shingles_of(t, shingle)
-            digest = np.frombuffer(xxhash.xxh3_128_digest(f"{section} {form}".encode("utf-8", "surrogatepass")), np.int64)
-            ids.append(digest[0])
-            twins.append(digest[1])
-            n.append(len(sh))
-            if len(sh):
-                sig = signature(sh, bands * rows)
-                hashes.append(bands_of(sig, bands, rows))
-                sketches.append((sig[:SKETCH] & np.uint32(0xFF)).astype(np.uint8).tobytes())
-            else:
-                hashes.append(np.zeros(0, np.int64))
-                sketches.append(b"")
-        at = np.cumsum([0, *map(len, hashes)], dtype=np.int32)
-        cols = {c: batch.column(c) for c in batch.schema.names if c != "text"} | {"id": pa.array(ids, pa.int64()), "twin": pa.array(twins, pa.int64()), "n": pa.array(n, pa.int32())}
-        cols |= {"bands": pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(hashes))), "sketch": pa.array(sketches, pa.binary())}
+        found = [forms.skeleton(t) for t in batch.column("text").to_pylist()]
+        digests = b"".join(xxhash.xxh3_128_digest(f"{s} {f}".encode("utf-8", "surrogatepass")) for s, f in zip(batch.column("section").to_pylist(), found))
+        names = np.frombuffer(digests, np.int64).reshape(-1, 2)
+        h, at = shingles_of_texts([forms.words(f) for f in found], shingle)
+        n = np.diff(at)
+        sig = signatures(h, at[np.r_[n > 0, True]], bands * rows)  # texts without shingles have no signature
+        ends = np.cumsum(np.r_[0, (n > 0) * bands], dtype=np.int32)
+        sketch = iter((sig[:, :SKETCH] & np.uint32(0xFF)).astype(np.uint8))
+        cols = {c: batch.column(c) for c in batch.schema.names if c != "text"} | {"id": pa.array(names[:, 0]), "twin": pa.array(names[:, 1]), "n": pa.array(n.astype(np.int32))}
+        cols |= {"bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(bands_of(sig, bands, rows).ravel())), "sketch": pa.array([next(sketch).tobytes() if k else b"" for k in n], pa.binary())}
         return pa.RecordBatch.from_pydict(cols)
 
     rows_ = secs.select("filing_id", "loaded_at", "section", F.xxhash64("text").alias("raw"), "text")
@@ -183,7 +203,7 @@ def near(secs: DataFrame, without: DataFrame | None = None, shingle: int = SHING
     def shingles_for(asked: DataFrame) -> DataFrame:
         where = stands.join(asked, "id").select("id", "filing_id", "section", "raw")
         rows_ = secs.select("filing_id", "section", F.xxhash64("text").alias("raw"), "text").join(where, ["filing_id", "section", "raw"]).select("id", "text")
-        return common.batches(rows_, lambda pdf: pd.DataFrame({"id": pdf["id"], "shingles": [shingles_of(t, shingle)[1].tobytes() for t in pdf["text"]]}), "id long, shingles binary").dropDuplicates(["id"])
+        return common.batches(rows_, lambda pdf: pd.DataFrame({"id": pdf["id"], "shingles": [shingles(forms.words(forms.skeleton(t)), shingle).tobytes() for t in pdf["text"]]}), "id long, shingles binary").dropDuplicates(["id"])
 
     members = members.join(stands.select("id", "twin"), ["id", "twin"], "left_semi").select("filing_id", "section", "id")
     return members, text_pairs(common.written(texts, "p2-texts"), shingles_for, threshold)

@@ -13,6 +13,7 @@ Results: a text without words holds nothing. Rows without doc_id or item_id are
 from __future__ import annotations
 
 from collections import defaultdict
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ MIN_TILE = 8
 #: Share of an item's words in tiles from which the whole item counts as leaked.
 COVERAGE = 0.5
 #: Words of all items together up to which every task may hold them (about 100 bytes a word).
-MAX_ITEM_WORDS = 2_000_000
+MAX_ITEM_WORDS = 300_000
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -65,20 +66,21 @@ def tiles(doc: list, item: list, k: int, at: list[int] | None = None) -> list[tu
         n = k
         while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n]:
             n += 1
-        runs.append((n, i, j))
+        runs.append((-n, i, j))
+    heapify(runs)
     while runs:
-        runs.sort(key=lambda r: (-r[0], r[1], r[2]))
-        n, i, j = runs[0]
+        n, i, j = heappop(runs)
+        n = -n
         cut = [p for p in range(n) if used_d[i + p] or used_i[j + p]]
         if not cut:
             out.append((i, j, n))
             used_d[i : i + n] = b"\1" * n
             used_i[j : j + n] = b"\1" * n
-            runs = runs[1:]
         else:  # what earlier tiles leave of the run
             edges = [-1, *cut, n]
-            left = [(b - a - 1, i + a + 1, j + a + 1) for a, b in zip(edges, edges[1:]) if b - a - 1 >= k]
-            runs = left + runs[1:]
+            for a, b in zip(edges, edges[1:]):
+                if b - a - 1 >= k:
+                    heappush(runs, (a + 1 - b, i + a + 1, j + a + 1))
     return out
 
 

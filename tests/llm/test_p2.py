@@ -94,3 +94,17 @@ def test_groups_of_many_copies(spark, filings):
 
 def test_nothing(filings):
     assert p2.filing_pairs(common.sections(filings([]))).collect() == []
+
+
+def test_batches_give_what_single_texts_give():
+    r = random.Random(5)
+    words = [[f"w{r.randrange(50)}" for _ in range(r.choice([0, 1, 2, 3, 7, 400, 9000]))] for _ in range(40)]
+    h, at = p2.shingles_of_texts(words, 3)
+    full = [i for i in range(40) if at[i + 1] > at[i]]
+    sig = p2.signatures(h, at[[*full, 40]], 100)
+    for i in range(40):
+        assert (h[at[i] : at[i + 1]] == p2.shingles(words[i], 3)).all()
+    for k, i in enumerate(full):
+        one = p2.signature(p2.shingles(words[i], 3), 100)
+        assert (sig[k] == one).all() and (p2.bands_of(sig, 20, 5)[k] == p2.bands_of(one, 20, 5)).all()
+    assert p2.shingles_of_texts([], 3)[0].size == 0 and p2.shingles_of_texts([[], ["a"]], 3)[1].tolist() == [0, 0, 0]
