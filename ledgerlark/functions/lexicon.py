@@ -19,10 +19,15 @@ from ledgerlark.functions import text
 MAX_LITERAL_WORDS = 200_000
 
 
+def category_name(c: Column | str) -> Column:
+    """A category as this module spells it, in lower case: StrongModal and strong modal are strong_modal."""
+    return F.regexp_replace(F.lower(c), "^(strong|weak)[ _-]?modal$", "$1_modal")
+
+
 def categories_of(lexicon: DataFrame, limit: int = MAX_LITERAL_WORDS) -> dict[str, list[str]]:
     """{upper-case word: its categories} of a (word, category) table of at most `limit` words (checked)."""
     rows = lexicon.where("word is not null and category is not null")
-    rows = rows.select(F.upper("word").alias("word"), F.lower("category").alias("category")).distinct().groupBy("word").agg(F.sort_array(F.collect_set("category")).alias("c"))
+    rows = rows.select(F.upper("word").alias("word"), category_name("category").alias("category")).distinct().groupBy("word").agg(F.sort_array(F.collect_set("category")).alias("c"))
     out = {r["word"]: list(r["c"]) for r in rows.limit(limit + 1).collect()}
     if len(out) > limit:
         raise ValueError(f"the lexicon has more than {limit} words; use count_by_join")
@@ -91,7 +96,7 @@ def metric_names() -> list[str]:
 def count_by_join(df: DataFrame, key: str, tokens: str, lexicon: DataFrame) -> DataFrame:
     """J11 for a lexicon of any size: (key, 18 metrics). The tokens of a row lie in one task, so what is shuffled after a
     broadcast (Spark sees the lexicon's size and picks it or not) is one row of counts for each key."""
-    lex = lexicon.where("word is not null and category is not null").select(F.upper("word").alias("word"), F.lower("category").alias("category")).distinct()
+    lex = lexicon.where("word is not null and category is not null").select(F.upper("word").alias("word"), category_name("category").alias("category")).distinct()
     own = df.select(key, F.explode(tokens).alias("t")).select(key, F.upper("t").alias("word"))
     hit = own.join(lex, "word").groupBy(key).agg(*[F.sum(F.when(F.col("category") == k, 1).otherwise(0)).alias(k) for k in CATEGORIES])
     size = df.groupBy(key).agg(F.sum(F.size(tokens)).alias("_total"))

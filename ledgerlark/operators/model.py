@@ -35,6 +35,28 @@ def word_list_scorer(positive: frozenset[str], negative: frozenset[str]) -> Call
     return make
 
 
+def pipeline_scorer(path: str, batch: int = DEFAULT.model_batch, max_tokens: int = 512, device: int | str | None = None) -> Callable[[], Scorer]:
+    """M1: a classification pipeline over a model in a local folder, loaded once in each worker; on GPU 0 where there is one.
+
+    Needs the transformers package, which is imported on the worker only."""
+
+    def make() -> Scorer:
+        from transformers import pipeline
+
+        where = device
+        if where is None:
+            try:
+                import torch
+
+                where = 0 if torch.cuda.is_available() else -1
+            except ImportError:
+                where = -1
+        classify = pipeline("sentiment-analysis", model=path, tokenizer=path, device=where)
+        return lambda sentences: classify(sentences, batch_size=batch, truncation=True, max_length=max_tokens)
+
+    return make
+
+
 def safe_scores(scorer: Scorer, sentences: list[str], batch: int) -> list[tuple[str, float]]:
     """M4: labels in lower case and scores, in order; every sentence of a failing batch is neutral, 0."""
     out: list[tuple[str, float]] = []

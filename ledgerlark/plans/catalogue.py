@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.plans import market_queries, panel_queries, text_queries, trailing
+from ledgerlark.plans import market_queries, panel_queries, source_queries, text_queries, trailing
 
-MODULES = (text_queries, market_queries, panel_queries, trailing)
+MODULES = (text_queries, market_queries, panel_queries, source_queries, trailing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +58,7 @@ def q_lexicon_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_lexicon_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lexicon.union_lexicons([base.lexicon(spark, sf_dir).select(F.upper("word").alias("word"), F.lower("category").alias("category"))])
+    rows = lexicon.union_lexicons([base.lexicon(spark, sf_dir).select(F.upper("word").alias("word"), lexicon.category_name("category").alias("category"))])
     return rows.where("word is not null and category is not null").groupBy("category").agg(F.count("*").alias("words"))
 
 
@@ -171,14 +173,23 @@ def q_sentence_agg_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("filing_id", *[F.round(F.col(c) + F.lit(0.0), 6).alias(c) for c in model.AGGREGATES[:-1]], "n_sentences")
 
 
-def q_model_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_filings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Callable]:
+    """The filings and the stand-in scorer made of the lexicon's words."""
     lex = lexicon.categories_of(base.lexicon(spark, sf_dir))
     pick = lambda k: frozenset(w.lower() for w, cs in lex.items() if k in cs)
     make = model.word_list_scorer(pick("positive"), pick("negative"))
-    got, _ = model.batch_sentiment(base.filings(spark, sf_dir, "mda_text"), ["filing_id"], "mda_text", make)
+    return base.filings(spark, sf_dir, "filing_type", "mda_text"), make
+
+
+def rounded_scores(got: DataFrame) -> DataFrame:
     return got.select("filing_id", *[F.round(F.col(c) + F.lit(0.0), 6).alias(c) for c in model.AGGREGATES[:-1]], "n_sentences")
 
 
+def q_model_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, make = scored_filings(spark, sf_dir)
+    return rounded_scores(model.batch_sentiment(rows, ["filing_id"], "mda_text", make)[0])
+
+
 def _landed_indexes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Landed JSON put together from the filings: a map (ticker, cik) and an index (cik, value) for each company."""
     rows = base.filings(spark, sf_dir, "ticker", "filing_type", "filing_date").where("filing_date is not null and ticker is not null")
@@ -229,7 +240,7 @@ def _lex_sql(col: str, key: str = "filing_id") -> str:
     pct = ", ".join(f"round(CASE WHEN n > 0 THEN {k}_count / n ELSE 0.0 END, 6) AS {k}_pct" for k in CATEGORIES)
     return f"""
 t AS (SELECT {key}, {_TOK.format(c=col)} AS toks FROM f),
-x AS (SELECT DISTINCT upper(word) AS word, lower(category) AS category FROM lexicon WHERE word IS NOT NULL AND category IS NOT NULL),
+x AS (SELECT DISTINCT upper(word) AS word, regexp_replace(lower(category), '^(strong|weak)[ _-]?modal$', '\\1_modal') AS category FROM lexicon WHERE word IS NOT NULL AND category IS NOT NULL),
 h AS (SELECT {key}, {counts} FROM (SELECT {key}, upper({_PLAIN}) AS word FROM (SELECT {key}, unnest(toks) AS w FROM t)) JOIN x USING (word) GROUP BY {key}),
 m AS (SELECT t.{key}, len(toks)::BIGINT AS n, {", ".join(f"coalesce({k}_count, 0) AS {k}_count" for k in CATEGORIES)} FROM t LEFT JOIN h ON t.{key} = h.{key}),
 l AS (SELECT {key}, {", ".join(f"{k}_count" for k in CATEGORIES)}, {pct},
@@ -292,7 +303,7 @@ SELECT filing_id, length(c)::BIGINT AS chars, md5(c) AS digest FROM b""",
     "q_tokenize_counts": f"WITH {FILINGS}, t AS (SELECT filing_id, {_TOK.format(c='mda_text')} AS t FROM f) SELECT filing_id, len(t)::BIGINT AS tokens, len(list_distinct(t))::BIGINT AS distinct_tokens FROM t",
     "q_lexicon_scores": _LEX,
     "q_lexicon_by_join": _LEX,
-    "q_lexicon_categories": "SELECT category, count(*) AS words FROM (SELECT DISTINCT upper(word) AS word, lower(category) AS category FROM lexicon WHERE word IS NOT NULL AND category IS NOT NULL) GROUP BY category",
+    "q_lexicon_categories": "SELECT category, count(*) AS words FROM (SELECT DISTINCT upper(word) AS word, regexp_replace(lower(category), '^(strong|weak)[ _-]?modal$', '\\1_modal') AS category FROM lexicon WHERE word IS NOT NULL AND category IS NOT NULL) GROUP BY category",
     "q_sector_sentiment": f"""WITH {FILINGS}, {_lex_sql('mda_text').replace(', 6)', ', 15)')},
 s AS (SELECT ticker, max(sector) AS sector FROM sector_map WHERE ticker IS NOT NULL GROUP BY ticker)
 SELECT coalesce(sector, 'Unknown') AS sector, count(*) AS filings, round(avg(negative_pct), 6) AS avg_negative_pct, round(avg(positive_pct), 6) AS avg_positive_pct,

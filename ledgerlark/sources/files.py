@@ -99,6 +99,16 @@ def load_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def load_panel(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The first panel that exists, Parquet or CSV with its types told from the values, else the made-up one."""
+    from ledgerlark.sources.demo import demo_panel
+
+    for p in paths:
+        if exists(spark, p):
+            return spark.read.option("header", True).option("inferSchema", True).csv(p) if p.endswith(".csv") else spark.read.parquet(p)
+    return demo_panel(spark)
+
+
 def load_first(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """The first table that exists, Parquet or CSV, else an empty one with the schema."""
     for p in paths:

@@ -68,3 +68,10 @@ def test_every_word_of_a_large_lexicon_is_found(spark):
     table = {w: ["negative"] for w in words}
     df = spark.createDataFrame([([*words, "OTHER"],)], "t array<string>")
     assert df.select(lexicon.score("t", table).alias("s")).first()["s"]["negative_count"] == 5000
+
+
+def test_spellings_of_categories(spark):
+    lex = spark.createDataFrame([("MUST", "StrongModal"), ("COULD", "weak modal"), ("MAY", "Weak_Modal")], "word string, category string")
+    assert lexicon.categories_of(lex) == {"MUST": ["strong_modal"], "COULD": ["weak_modal"], "MAY": ["weak_modal"]}
+    got = lexicon.score_columns(spark.createDataFrame([("must could may",)], "t string"), lex, "t", "", lambda c: F.split(c, " ")).first()
+    assert (got["strong_modal_count"], got["weak_modal_count"]) == (1, 2)

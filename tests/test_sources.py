@@ -3,7 +3,7 @@ import json
 import pytest
 
 from ledgerlark.plans import panel
-from ledgerlark.sources import demo, edgar, files
+from ledgerlark.sources import demo, edgar, files, remote
 
 
 def test_submissions(spark):
@@ -78,3 +78,55 @@ def test_panel_from_disk(spark, tmp_path):
     assert rows[0]["abret_21d"] == pytest.approx(0)
     panel.register(spark, {"panel": spark.read.parquet(out)})
     assert spark.sql("select count(*) as n from panel").first()["n"] == 2
+
+
+def test_attempts_and_landing(spark, tmp_path):
+    waits, calls = [], []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("busy")
+        return 7
+
+    assert remote.attempt(flaky, sleep=waits.append) == 7 and waits == [1.0, 2.0]
+    with pytest.raises(OSError):
+        remote.attempt(lambda: (_ for _ in ()).throw(OSError("down")), sleep=waits.append)
+    target = str(tmp_path / "a" / "b.htm")
+    assert remote.land(lambda url: [b"x" * 600, b"y" * 600], "u", target) and (tmp_path / "a" / "b.htm").stat().st_size == 1200
+    assert remote.land(lambda url: 1 / 0, "u", target)  # it is there already
+
+    def broken(url):
+        yield b"x"
+        raise OSError("cut")
+
+    assert not remote.land(broken, "u", str(tmp_path / "c.htm")) and not list(tmp_path.glob("c.htm*"))
+    assert {tuple(r) for r in remote.outcomes(spark, {"p": True, "q": False}).collect()} == {("p", True), ("q", False)}
+
+
+def test_lexicon_is_fetched_once(spark, tmp_path):
+    path = str(tmp_path / "l" / "lm.csv")
+    got = remote.lexicon_from(spark, lambda url: b"Word,Negative,Positive,Uncertainty\nloss,1,0,0\n", "u", path)
+    assert [tuple(r) for r in got.collect()] == [("LOSS", "negative")]
+    assert remote.lexicon_from(spark, lambda url: 1 / 0, "u", path).count() == 1
+    with pytest.raises(RuntimeError):
+        remote.lexicon_from(spark, lambda url: 1 / 0, "u", str(tmp_path / "absent.csv"))
+
+
+def test_prices_after_failures(spark):
+    import pandas as pd
+
+    def get(tickers, start, end):
+        assert tickers == ["A", "SPY"]
+        return pd.DataFrame({"Date": ["2024-01-02", "2024-01-03"], "A": [1.0, None], "SPY": [None, 5.0]})
+
+    got = {(str(r["dt"]), r["ticker"]): r["close"] for r in remote.prices_from(spark, get, ["A"]).collect()}
+    assert got == {("2024-01-02", "A"): 1.0, ("2024-01-03", "A"): 1.0, ("2024-01-02", "SPY"): 5.0, ("2024-01-03", "SPY"): 5.0}
+    assert remote.prices_from(spark, lambda *a: 1 / 0, ["A"], sleep=lambda s: None).count() == 0
+
+
+def test_panel_or_the_made_up_one(spark, tmp_path):
+    made_up = files.load_panel(spark, [str(tmp_path / "no.parquet")])
+    assert made_up.count() == 120 and len(made_up.columns) == 27
+    p = files.save_parquet(made_up, str(tmp_path / "panel"))
+    assert files.load_panel(spark, [str(tmp_path / "no.csv"), p]).exceptAll(made_up).count() == 0
