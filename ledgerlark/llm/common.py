@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlark.sources.scratch import drop_written, shared_dir, written
+
 SECTIONS = (("item_1a", "item_1a_text"), ("mda", "mda_text"))
 
 
@@ -43,36 +44,6 @@ def latest(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(top).select(*keys, *[F.col(f"top.{v}").alias(v) for v in values])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; a local one only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        hadoop = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if hadoop.isDefined():
-            return hadoop.get()
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        at = "file://" + tempfile.mkdtemp(prefix="ledgerlark-")
-        spark.sparkContext.setCheckpointDir(at)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return at
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cuts the lineage: the frame as a table in the shared folder. For results that several branches read."""
-    path = f"{shared_dir(df.sparkSession)}/ledgerlark/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_written(spark: SparkSession) -> None:
-    """Deletes the tables that ``written`` left in the shared folder; results that read them must be done with."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/ledgerlark")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def batches(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """mapInPandas with a function of one Arrow batch."""
 

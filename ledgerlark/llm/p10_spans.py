@@ -217,4 +217,9 @@ SQL = {
 w AS (SELECT DISTINCT doc_id, md5(substring(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM d)),
 s AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), x AS (SELECT w.doc_id, h FROM w JOIN s USING (h))
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p10_share": """WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 300),
+w AS (SELECT doc_id, length(text) AS chars, i, md5(substring(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM d)),
+s AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1), m AS (SELECT doc_id, chars, i FROM w JOIN s USING (h)),
+c AS (SELECT doc_id, chars, least(300, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 300)) AS n FROM m)
+SELECT doc_id, chars::BIGINT AS chars, sum(n)::BIGINT AS shared_chars, round(sum(n) / chars, 4) AS share FROM c GROUP BY doc_id, chars""",
 }

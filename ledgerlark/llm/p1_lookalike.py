@@ -287,16 +287,24 @@ def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("raw").join(size, ["section", "form_id"]).select("filing_id", "section", "form_id", "filings", "spellings", "form")
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each section: its class, named by the least filing that reads so, and the filings and spellings of it."""
+    rows = classes(common.table(spark, sf_dir, "filings_df")).withColumn("class", F.struct("section", "form_id"))
+    size = rows.groupBy("class").agg(F.min("filing_id").alias("class_id"), F.count("*").alias("filings"), F.count_distinct("raw").alias("spellings"))
+    return common.join_salted(rows.select("filing_id", "section", "class"), size, "class", "filing_id").select("filing_id", "section", "class_id", "filings", "spellings")
+
+
 def p1_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spelling of each distinct token that isn't in plain form."""
     return spellings(scanned(common.sections(common.table(spark, sf_dir, "filings_df")))[1])
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p1_spellings": p1_spellings}
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p1_classes": p1_classes, "p1_spellings": p1_spellings}
 
 
-def _sql() -> str:
-    """The form by table in SQL, apart from the operator: one character for one, blanks and ignorables, Latin ligatures."""
+def sql_forms() -> str:
+    """CTEs f and t (filing_id, section, raw, form): the form by table in SQL, apart from the operator: one character for
+    one, blanks and ignorables, Latin ligatures."""
     special, _, look, _ = forms.tables()
     one, gone, several = {}, "", {}
     for i in [*range(0xA0, 0xD800), *range(0xE000, 0x20000), *[x for x in special if x >= 0x20000]]:
@@ -316,8 +324,12 @@ def _sql() -> str:
     t = f"trim(regexp_replace(nfc_normalize({t}), '[ \\t\\n\\r\\f\\v\\x1c-\\x1f\\x85]+', ' ', 'g'))"
     rows = " UNION ALL ".join(f"SELECT filing_id, '{s}' AS section, {c} AS raw FROM f" for s, c in common.SECTIONS)
     return f"""WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY filing_id ORDER BY loaded_at DESC NULLS LAST) AS rn FROM filings_df WHERE filing_id IS NOT NULL) WHERE rn = 1),
-t AS (SELECT filing_id, section, raw, {t.replace('{c}', 'raw')} AS form FROM ({rows}) WHERE raw IS NOT NULL)
-SELECT a.filing_id AS filing_id_a, b.filing_id AS filing_id_b, a.section FROM t a JOIN t b ON a.section = b.section AND a.form = b.form AND a.filing_id < b.filing_id AND a.raw <> b.raw WHERE a.form <> ''"""
+t AS (SELECT filing_id, section, raw, {t.replace('{c}', 'raw')} AS form FROM ({rows}) WHERE raw IS NOT NULL)"""
 
 
-SQL = {"p1_found": _sql()}
+SQL = {
+    "p1_found": sql_forms() + """
+SELECT a.filing_id AS filing_id_a, b.filing_id AS filing_id_b, a.section FROM t a JOIN t b ON a.section = b.section AND a.form = b.form AND a.filing_id < b.filing_id AND a.raw <> b.raw WHERE a.form <> ''""",
+    "p1_classes": sql_forms() + """, c AS (SELECT section, form, min(filing_id) AS class_id, count(*) AS filings, count(DISTINCT raw) AS spellings FROM t WHERE form <> '' GROUP BY section, form)
+SELECT filing_id, section, class_id, filings, spellings FROM t JOIN c USING (section, form)""",
+}

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlark.llm import common, forms, p7_garbled
+from ledgerlark.llm import common, forms, p1_lookalike, p7_garbled
 
 SHINGLE = 3
 THRESHOLD = 0.5
@@ -252,11 +252,13 @@ def _stars(edges: DataFrame) -> DataFrame:
 def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(filing_id, section, group_id, links): connected groups of similar texts, one row per section that has any.
 
-    A group is named by its least text."""
+    A group is named by its least filing."""
     edges = common.written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "p2-edges")
     links = edges.groupBy("a").agg(F.count("*").alias("links"))
     rows = common.join_salted(members.withColumnRenamed("id", "a"), _stars(edges).join(links, "a"), "a", "filing_id")
-    return rows.select("filing_id", "section", F.hex("l").alias("group_id"), "links")
+    rows = common.written(rows.select("filing_id", "section", "l", "links"), "p2-grouped")
+    name = rows.groupBy("l").agg(F.min("filing_id").alias("group_id"))
+    return common.join_salted(rows, name, "l", "filing_id").select("filing_id", "section", "group_id", "links")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,4 +271,15 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
-SQL: dict[str, str] = {}
+SQL = {
+    "p2_groups": "WITH RECURSIVE " + p1_lookalike.sql_forms().removeprefix("WITH ") + """,
+u AS (SELECT DISTINCT section, form, md5(section || form) AS id FROM t WHERE form <> ''), m AS (SELECT filing_id, section, md5(section || form) AS id FROM t WHERE form <> ''),
+ws AS (SELECT id, section, regexp_extract_all(lower(form), '[\\p{L}\\p{N}]+') AS w FROM u),
+sh AS (SELECT DISTINCT id, section, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT id, section, w, unnest(range(1, len(w) - 3)) AS i FROM ws WHERE len(w) >= 5)),
+n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
+b AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM sh x JOIN sh y ON x.s = y.s AND x.section = y.section AND x.id <> y.id GROUP BY x.id, y.id),
+e AS (SELECT a, b FROM b JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k / (x.n + y.n - k) >= 0.8),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+g AS (SELECT r.a AS id, min(m.filing_id) AS group_id FROM r JOIN m ON m.id = r.b GROUP BY r.a), l AS (SELECT a AS id, count(*) AS links FROM e GROUP BY a)
+SELECT filing_id, section, group_id, links FROM m JOIN g USING (id) JOIN l USING (id)""",
+}

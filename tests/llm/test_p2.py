@@ -70,7 +70,7 @@ def test_long_chains_are_one_group_each(spark):
     rows = p2.groups(members, pairs).collect()
     assert len(rows) == len(ids) and {r["filing_id"] for r in rows} == ids
     for part in (shuffled, falling, range(2000, 2040)):
-        assert {r["group_id"] for r in rows if r["filing_id"] in set(part)} == {format(min(part), "X")}
+        assert {r["group_id"] for r in rows if r["filing_id"] in set(part)} == {min(part)}
     assert sum(r["links"] for r in rows) == 2 * len(edges)
     assert p2.groups(members, pairs.limit(0)).collect() == []
 
