@@ -20,7 +20,9 @@ import unicodedata as ud
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,43 +75,74 @@ def _translation(name: str) -> dict[int, str]:
     return {b: c for b, c in enumerate(charset(name)) if ord(c) != b}
 
 
-def wide_forms(text: str) -> list[tuple[str, str]]:
-    """(garbled form, chain) of a text under the chains that turn a character into several."""
-    out = []
-    data = text.encode("utf-8", "surrogatepass")
-    for name in READ_UTF8_AS:
-        out.append((read(data, name), f"utf-8>{name}"))
-    for a, b in TWICE:
-        out.append((read(read(data, a).encode("utf-8"), b), f"utf-8>{a}>utf-8>{b}"))
-    for w in WIDE:
-        try:
-            data = text.encode(w)
-        except UnicodeEncodeError:
-            continue
-        if len(data) > len(text):
-            out += [(read(data, name), f"{w}>{name}") for name in READ_WIDE_AS]
-    return out
+class Chain:
+    """An encoding that a text was written in, what it was read as, and what it becomes."""
 
+    def __init__(self, kind: str, right: str, name: str = "", again: str = "") -> None:
+        self.kind, self.right, self.wrong, self.again = kind, right, name, again
+        self.label = f"utf-8>{name}>utf-8>{again}" if again else f"{right}>{name or 'utf-8'}"
 
-def narrow_forms(text: str) -> list[tuple[str, str]]:
-    """The same for chains that turn a character into one other, and for lossy ones."""
-    out = []
-    for right, names in NARROW.items():
+    def form(self, text: str) -> str | None:
+        """The garbled form; None where the encoding lacks a character."""
         try:
-            data = text.encode(right)
+            data = text.encode(self.right, "surrogatepass" if self.right == "utf-8" else "strict")
         except UnicodeEncodeError:
-            continue
-        out += [(read(data, name), f"{right}>{name}") for name in names]
-    for right in LOSSY:
-        try:
-            data = text.encode(right)
-        except UnicodeEncodeError:
-            continue
-        if LOST in (t := data.decode("utf-8", "replace")):
-            out.append((t, f"{right}>utf-8"))
+            return None
+        if self.kind == "lossy":
+            return data.decode("utf-8", "replace")
+        out = read(data, self.wrong)
+        return read(out.encode("utf-8"), self.again) if self.again else out
+
+    def counts(self, text: str, form: str) -> bool:
+        """False where the chain changes the number of characters, or loses some, and this form shows neither."""
+        return len(form) > len(text) if self.kind == "wide" else LOST in form if self.kind == "lossy" else True
+
+
+#: In the order of preference among chains that give the same form.
+WIDE_CHAINS = [Chain("utf-8", "utf-8", n) for n in READ_UTF8_AS] + [Chain("utf-8", "utf-8", a, b) for a, b in TWICE] + [Chain("wide", w, n) for w in WIDE for n in READ_WIDE_AS]
+NARROW_CHAINS = [Chain("narrow", right, n) for right, names in NARROW.items() for n in names] + [Chain("lossy", right) for right in LOSSY]
+CHAINS = WIDE_CHAINS + NARROW_CHAINS
+
+
+def wide_forms(text: str) -> list[tuple[str, str]]:
+    """(garbled form, chain) of a text under the chains that turn a character into several."""
+    forms = [(c.form(text), c) for c in WIDE_CHAINS]
+    return [(f, c.label) for f, c in forms if f is not None and c.counts(text, f)]
+
+
+def forms_of(token: str) -> dict[str, str]:
+    """The garbled forms of a token and the first chain that gives each."""
+    out: dict[str, str] = {}
+    for c in CHAINS:
+        f = c.form(token)
+        if f is not None and f != token and f not in out and c.counts(token, f):
+            out[f] = c.label
     return out
 
 
+#: Bits of the filter of the corpus's tokens: 8 MB whatever the corpus; a full filter only lets more forms through.
+FILTER_BITS = 1 << 26
+
+
+def probes(token: str) -> tuple[int, int]:
+    h = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
+    return h & (FILTER_BITS - 1), (h >> 32) & (FILTER_BITS - 1)
+
+
+def _filter_words(pdf: pd.DataFrame) -> pd.DataFrame:
+    bits = np.unique(np.array([p for t in pdf["token"] for p in probes(t)], dtype=np.int64))
+    masks = np.uint64(1) << (bits & 63).astype(np.uint64)
+    return pd.DataFrame({"word": bits >> 6, "mask": masks.view(np.int64)}).groupby("word", as_index=False).agg({"mask": lambda m: np.bitwise_or.reduce(m.to_numpy())})
+
+
+def token_filter(vocab: DataFrame) -> bytes:
+    """A Bloom filter of the tokens of the corpus, of FILTER_BITS."""
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    rows = common.batches(vocab.select("token"), _filter_words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    words[rows.column("word").to_numpy()] = rows.column("mask").to_numpy()
+    return words.astype("<i8").tobytes()
+
+
 def plain(token: str) -> bool:
     """True if the token may be clean: no control characters or losses, natural case, and not UTF-8 read wrongly."""
     if any(ud.category(c) in ("Cc", "Co", "Cn") or c == LOST for c in token):
@@ -220,18 +253,16 @@ def strong(form: str, token: str, chain: str) -> bool:
     return not any(c.isspace() for c in form) and (sum(ord(c) > 127 and c.isalpha() for c in form) >= 3 or len(form) >= 5 and form.isalpha())
 
 
-def _forms(known: str):
-    """The forms of the clean tokens of a batch that consist of characters of the corpus; others meet no token."""
-    strange = re.compile("[^" + re.escape(known) + "]").search if known else None
+def _forms(held):
+    """The forms of the clean tokens of a batch that the filter doesn't tell to be absent from the corpus."""
+
+    def there(form: str, bits: bytes) -> bool:
+        a, b = probes(form)
+        return bool(bits[a >> 3] >> (a & 7) & 1 and bits[b >> 3] >> (b & 7) & 1)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for token, n in zip(pdf["token"], pdf["n"]):
-            if strange is None or not plain(token):
-                continue
-            for form, chain in {f: c for f, c in reversed(wide_forms(token) + narrow_forms(token))}.items():
-                if form != token and not strange(form):
-                    rows.append((form, token, chain, n, strong(form, token, chain)))
+        bits = held.value
+        rows = [(f, t, chain, n, strong(f, t, chain)) for t, n in zip(pdf["token"], pdf["n"]) if plain(t) for f, chain in forms_of(t).items() if there(f, bits)]
         return pd.DataFrame(rows, columns=["token", "original", "chain", "original_n", "strong"])
 
     return run
@@ -332,9 +363,8 @@ def originals(vocab: DataFrame) -> DataFrame:
     """(token, original, chain, strong, lead, more): tokens of the corpus that are a form of another one, by chain.
 
     lead: by how much the original reads better; more: it is in more texts. The original is NULL where there are several."""
-    # at most one row for each character of Unicode
-    known = "".join(sorted(r[0] for r in vocab.select(F.explode(F.split("token", "")).alias("c")).distinct().collect()))
-    forms = common.batches(common.spread(vocab, "token"), _forms(known), "token string, original string, chain string, original_n long, strong boolean")
+    held = vocab.sparkSession.sparkContext.broadcast(token_filter(vocab))
+    forms = common.batches(common.spread(vocab, "token"), _forms(held), "token string, original string, chain string, original_n long, strong boolean")
     # many times the size that Spark sees, so a broadcast would be chosen wrongly
     hit = common.batches(forms.hint("merge").join(vocab, "token"), _leads, "token string, original string, chain string, original_n long, strong boolean, n long, lead double")
     best = F.max(F.struct("original_n", "original", "lead", (F.col("original_n") > F.col("n")).alias("more")))
