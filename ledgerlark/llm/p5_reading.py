@@ -76,19 +76,17 @@ def _measure(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(cols)
 
 
-MEASURED = "filing_id long, loaded_at timestamp, section string, raw long, words long, sentences long, own array<string>, times array<long>"
+MEASURED = "filing_id long, loaded_at timestamp, section string, words long, sentences long, own array<string>, times array<long>"
 
 
 def measured(secs: DataFrame) -> DataFrame:
-    """(filing_id, section, unfamiliar, length) of each section that is English in its latest delivery."""
-    secs = secs.select("filing_id", "loaded_at", "section", F.xxhash64("text").alias("raw"), "text")
+    """(filing_id, section, unfamiliar, length) of each section that is English in its latest delivery.
+
+    Document frequencies are those of all deliveries; only figures are shuffled, not words."""
     rows = common.written(common.arrow_batches(secs, _measure, MEASURED), "p5-words")
-    last = common.latest(rows.select("filing_id", "section", "loaded_at", "raw", F.col("words").isNotNull().alias("english")), ["filing_id", "section"], ["raw", "english"])
-    key = ["filing_id", "section", "raw"]
-    rows = rows.where("words is not null").join(last.where("english").select(*key), key, "left_semi").dropDuplicates(key)
-    rows = common.written(rows, "p5-latest")
-    n = rows.count()
-    seen = rows.select(F.explode("own").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    english = rows.where("words is not null")
+    n = english.count()
+    seen = english.select(F.explode("own").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     familiar = frozenset(r["word"] for r in seen.where(F.col("df") >= FAMILIAR * n).collect())  # bounded, see above
 
     def features(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -97,9 +95,12 @@ def measured(secs: DataFrame) -> DataFrame:
             strange = sum(c for w, c in zip(own, times) if w not in familiar)
             out.append(strange / max(1, sum(times)))
         length = pdf["words"] / pdf["sentences"].clip(lower=1)
-        return pdf[["filing_id", "section"]].assign(unfamiliar=out, length=length)
+        return pdf[["filing_id", "loaded_at", "section"]].assign(english=True, unfamiliar=out, length=length)
 
-    return common.batches(rows, features, "filing_id long, section string, unfamiliar double, length double")
+    figures = common.batches(english, features, "filing_id long, loaded_at timestamp, section string, english boolean, unfamiliar double, length double")
+    other = rows.where("words is null").select("filing_id", "loaded_at", "section", F.lit(False).alias("english"), F.lit(None).cast("double").alias("unfamiliar"), F.lit(None).cast("double").alias("length"))
+    last = common.latest(figures.unionByName(other), ["filing_id", "section"], ["english", "unfamiliar", "length"])
+    return last.where("english").drop("english")
 
 
 def limit(low: np.ndarray, high: np.ndarray) -> float:
